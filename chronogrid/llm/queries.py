@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, pages, pieces, quality, toxicity, urls
+from . import decontam, fingerprints, langid, neardup, pages, pieces, quality, toxicity, urls
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op1_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op3_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op4_language(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.op5_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op6_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op7_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,8 +47,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.op9_main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op10_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_quality, op4_language, op5_urls, op7_pieces, op8_toxicity, op9_main_text)
+    found = (op1_quality, op3_near_duplicates, op4_language, op5_urls, op6_decontamination, op7_pieces, op8_toxicity, op9_main_text, op10_fingerprints)
     return {f.__name__: f for f in found}
 
 
