@@ -202,7 +202,7 @@ def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _one_block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     index = docs.sparkSession.sparkContext.broadcast(Index(items))
-    named = docs.columns[:-1]
+    columns = docs.columns
 
     def run(batches):
         for b in batches:
@@ -217,7 +217,7 @@ def _one_block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                     if m:
                         found[k] = found[k] + m
                 a = e
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in named), pa.array(found, _ARROW_MATCH)], docs.columns)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns[:-1]), pa.array(found, _ARROW_MATCH)], columns)
 
     return arrow_map(docs, run, docs.schema)
 
