@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, langid, neardup, pages, pieces, quality, toxicity, urls
+from . import decontam, fingerprints, langid, neardup, pages, pieces, pii, quality, toxicity, urls
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op1_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op2_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op3_near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_quality, op3_near_duplicates, op4_language, op5_urls, op6_decontamination, op7_pieces, op8_toxicity, op9_main_text, op10_fingerprints)
+    found = (op1_quality, op2_personal_data, op3_near_duplicates, op4_language, op5_urls, op6_decontamination, op7_pieces, op8_toxicity, op9_main_text, op10_fingerprints)
     return {f.__name__: f for f in found}
 
 
