@@ -1,8 +1,8 @@
 """All registered queries, with the SQL that they are held against."""
 
-from . import language
+from . import language, series
 
-MODULES = (language,)
+MODULES = (language, series)
 
 
 def queries() -> dict:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..lang import evaluate
 from ..plans import bindings
+from .common import rounded, rounded_sql
 
 CUBES = {"orders": (bindings.orders, bindings.ORDERS_SQL), "events": (bindings.events, bindings.EVENTS_SQL), "items": (bindings.items, bindings.ITEMS_SQL)}
 
@@ -94,7 +94,7 @@ DIGITS = {"anomaly_by_month": 3, "anomaly_by_day": 3}
 
 def _query(cube: str, program: str, digits: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return evaluate(CUBES[cube][0](spark, sf_dir), program).withColumn("value", F.round("value", digits))
+        return rounded(evaluate(CUBES[cube][0](spark, sf_dir), program), digits)
 
     return run
 
@@ -102,7 +102,7 @@ def _query(cube: str, program: str, digits: int):
 def _sql(cube: str, sql: str, digits: int) -> str:
     inner = sql.replace("{}", "cube")
     rows = CUBES[cube][1]
-    return f"WITH cube AS ({rows}) SELECT * REPLACE (round(value::DOUBLE, {digits}) AS value) FROM ({inner})"
+    return f"WITH cube AS ({rows}) {rounded_sql(inner, 'value', digits)}"
 
 
 QUERIES = {f"calc_{k}": _query(c, p, DIGITS.get(k, 6)) for k, (c, p, _) in PROGRAMS.items()}
