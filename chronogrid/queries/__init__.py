@@ -1,8 +1,8 @@
 """All registered queries, with the SQL that they are held against."""
 
-from . import language, series
+from . import language, series, space
 
-MODULES = (language, series)
+MODULES = (language, series, space)
 
 
 def queries() -> dict:
