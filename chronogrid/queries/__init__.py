@@ -1,8 +1,8 @@
 """All registered queries, with the SQL that they are held against."""
 
-from . import language, series, space
+from . import algorithms, language, series, space
 
-MODULES = (language, series, space)
+MODULES = (language, series, space, algorithms)
 
 
 def queries() -> dict:
