@@ -1,8 +1,8 @@
 """All registered queries, with the SQL that they are held against."""
 
-from . import algorithms, language, series, space
+from . import algorithms, language, series, sources, space
 
-MODULES = (language, series, space, algorithms)
+MODULES = (language, series, space, algorithms, sources)
 
 
 def queries() -> dict:
