@@ -12,6 +12,7 @@ are passed on (`score` and `predicted` are replaced).
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import ahocorasick
@@ -27,6 +28,7 @@ from .common import arrow_map, crc_mod, sample_ids, sampled_rows
 OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}']+")
 SIGNIFICANT = 4.5  #: standard errors by which a feature's share in P is above that in U
 SAMPLE, SAMPLE_CHARS = 1200, 30_000  #: toxic and unlabelled documents learned from, at most of each, and the longest of them
+SLOTS = 1 << 21  #: of the table that features are counted by first
 FEATURES = 4000  #: features of a classifier, at most: the most significant
 PRIOR_SAMPLE = 20_000  #: labels that the class prior is estimated from, at most
 
@@ -49,8 +51,37 @@ def plain(text: str | None) -> str:
     return f" {OTHER.sub(' ', (text or '').lower()).strip()} "
 
 
-def features(words: set[str], view) -> set[str]:
-    return {f for w in words for f in view(w)}
+def slots(words: set[str], view) -> set[int]:
+    return {zlib.crc32(f.encode()) & SLOTS - 1 for w in words for f in view(w)}
+
+
+def significant(view, positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
+    """Features whose share of documents is significantly higher in the first sample, the most significant first.
+
+    They are counted by the slots of a table first; strings are held only for slots that may have such a feature.
+    """
+
+    def z(p, u):
+        a, b = p / len(positive), u / len(unlabelled)
+        both = (p + u) / (len(positive) + len(unlabelled))
+        return np.where((p >= 4) & (a > 2.5 * b), (a - b) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12), 0)
+
+    in_p = np.zeros(SLOTS, np.int32)
+    for x in positive:
+        in_p[list(slots(x, view))] += 1
+    # a slot's count is at least that of each of its features; none of u is taken off yet
+    likely = z(in_p, np.zeros(SLOTS)) > SIGNIFICANT
+    counts = [Counter(), Counter()]
+    for into, sample in zip(counts, (positive, unlabelled), strict=True):
+        for x in sample:
+            into.update({f for w in x for f in view(w) if likely[zlib.crc32(f.encode()) & SLOTS - 1]} if into is counts[0] else {f for w in x for f in view(w) if f in counts[0]})
+        if into is counts[0]:
+            for f in [f for f, c in into.items() if c < 4]:
+                del into[f]
+    names = list(counts[0])
+    score = z(np.array([counts[0][f] for f in names]), np.array([counts[1][f] for f in names])) if names else []
+    rated = dict(zip(names, score, strict=True))
+    return [f for f in sorted(rated, key=lambda f: (-rated[f], f)) if rated[f] > SIGNIFICANT][:FEATURES]
 
 
 class Linear:
@@ -58,26 +89,18 @@ class Linear:
 
     def __init__(self, view, positive: list[set[str]], unlabelled: list[set[str]], prior: float, seed: int):
         self.weight, self.constant = {}, float(np.log(max(prior, 1e-4) / 20))
-        p, u = [features(t, view) for t in positive], [features(t, view) for t in unlabelled]
-        if not p or not u:
+        if not positive or not unlabelled:
             return
-        in_p, in_u = Counter(f for x in p for f in x), Counter(f for x in u for f in x)
-        z = {}
-        for f, c in in_p.items():
-            a, b = c / len(p), in_u[f] / len(u)
-            both = (c + in_u[f]) / (len(p) + len(u))
-            if c >= 4 and a > 2.5 * b:
-                z[f] = (a - b) / np.sqrt(both * (1 - both) * (1 / len(p) + 1 / len(u)) + 1e-12)
-        names = [f for f in sorted(z, key=lambda f: (-z[f], f)) if z[f] > SIGNIFICANT][:FEATURES]
+        names = significant(view, positive, unlabelled)
         place = {f: k for k, f in enumerate(names)}
 
-        def matrix(sets):
-            m = np.zeros((len(sets), len(names)), np.float32)
-            for r, s in enumerate(sets):
-                m[r, [place[f] for f in s if f in place]] = 1
+        def matrix(sample):
+            m = np.zeros((len(sample), len(names)), np.float32)
+            for r, x in enumerate(sample):
+                m[r, [place[f] for w in x for f in view(w) if f in place]] = 1
             return m
 
-        w, c = self.train(matrix(p), matrix(u), prior, seed)
+        w, c = self.train(matrix(positive), matrix(unlabelled), prior, seed)
         self.weight = {f: float(x) for f, x in zip(names, w, strict=True) if x}
         self.constant = float(c)
 
@@ -104,9 +127,19 @@ class Linear:
         return w, c
 
 
+def without_copies(sample: list[set[str]]) -> list[set[str]]:
+    """One of the texts whose words share their least hashes: copies and near copies would pass for evidence."""
+    first: dict[tuple, set[str]] = {}
+    for x in sample:
+        first.setdefault(tuple(sorted(zlib.crc32(w.encode()) for w in x)[:3]), x)
+    return list(first.values())
+
+
 class Model:
     def __init__(self, positive: list[str], unlabelled: list[str], prior: float):
-        p, u = ([set(plain(t).split()) for t in x] for x in (positive, unlabelled))
+        one: dict[str, str] = {}  # a string for each word, whatever the number of texts that have it
+        p, u = ([{one.setdefault(w, w) for w in plain(t).split()} for t in x] for x in (positive, unlabelled))
+        p, u = without_copies(p), without_copies(u)
         self.parts = [Linear(view, p, u, prior, 11 + k) for k, view in enumerate(VIEWS)]
 
     def scorer(self):
