@@ -12,6 +12,7 @@ each; further columns are passed on (`lang_pred` and `score` are replaced).
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 
 import numpy as np
@@ -24,12 +25,12 @@ from pyspark.sql import types as T
 from .common import arrow_map, crc_mod, sample_ids, sampled_rows
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-LONGEST = 6  #: characters of the longest n-grams
+LONGEST = 5  #: characters of the longest n-grams
 PENALTY = 14.0  #: minus the log frequency of what a language hasn't
 EVIDENCE = 12  #: words that count as independent for the posterior
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 1000, 60_000  #: documents of each language learned from, at most, and the longest of them
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 800, 30_000  #: documents of each language learned from, at most, and the longest of them
 LANGUAGES = 400  #: languages learned, at most: the most frequent
-VOCABULARY = 60_000  #: words, and n-grams of each length, kept for each language, at most: the most frequent
+VOCABULARY = 30_000  #: words, and n-grams of each length, kept for each language, at most: the most frequent
 MEMORY = 100_000  #: words whose scores a worker remembers
 
 
@@ -37,7 +38,9 @@ class Model:
     def __init__(self, texts: dict[str, list[str]]):
         """texts: by language."""
         self.languages = sorted(texts)
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]  # by length; at 0 whole words
+        #: by length of the n-grams, and at 0 for whole words: which of the rows of `known` a word has
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        found_in: list[list[tuple[int, float]]] = []
         for k, name in enumerate(self.languages):
             words = Counter(w for t in texts[name] for w in WORD.findall(t.lower()))
             counts = [words, *(Counter() for _ in range(LONGEST))]
@@ -48,24 +51,29 @@ class Model:
                         counts[n][padded[a : a + n]] += c
             for table, found in zip(self.tables, counts, strict=True):
                 total = sum(found.values())
-                for x, c in sorted(found.items(), key=lambda y: (-y[1], y[0]))[:VOCABULARY]:
+                for x in heapq.nsmallest(VOCABULARY, found, key=lambda y: (-found[y], y)):
                     if x not in table:
-                        table[x] = np.full(len(self.languages), -PENALTY)
-                    table[x][k] = max(-PENALTY, np.log(c / total))
+                        table[x] = len(found_in)
+                        found_in.append([])
+                    found_in[table[x]].append((k, max(-PENALTY, np.log(found[x] / total))))
+        self.known = np.full((len(found_in), len(self.languages)), -PENALTY, np.float32)
+        for r, pairs in enumerate(found_in):
+            for k, x in pairs:
+                self.known[r, k] = x
         self.memory: dict[str, int] = {}
         self.rows: np.ndarray | None = None
 
     def word(self, w: str) -> np.ndarray:
         found = self.tables[0].get(w)
-        if found is None:
-            padded = f" {w} "
-            for n in range(min(LONGEST, len(padded)), 0, -1):
-                table = self.tables[n]
-                grams = [table[g] for a in range(len(padded) - n + 1) if (g := padded[a : a + n]) in table]
-                if grams:
-                    return sum(grams) / len(grams)
-            return np.full(len(self.languages), -PENALTY)
-        return found
+        if found is not None:
+            return self.known[found]
+        padded = f" {w} "
+        for n in range(min(LONGEST, len(padded)), 0, -1):
+            table = self.tables[n]
+            grams = [table[g] for a in range(len(padded) - n + 1) if (g := padded[a : a + n]) in table]
+            if grams:
+                return self.known[grams].mean(axis=0)
+        return np.full(len(self.languages), -PENALTY)
 
     def judge(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
