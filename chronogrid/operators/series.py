@@ -83,7 +83,7 @@ def observations_per_year(obs: DataFrame, key: str = KEY) -> DataFrame:
     steps = valid.withColumn("step", step).where("step is not null")
     ranked = steps.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("step")) - 1).withColumn("n", F.count("*").over(by_key(key)))
     found = ranked.where("k = floor(n / 2)")
-    return found.select(key, F.greatest(F.lit(1), F.rint(F.lit(365.25) / F.col("step")).cast("int")).alias("per_year"))
+    return found.select(key, F.greatest(F.lit(1), F.rint(F.coalesce(divide(F.lit(365.25), F.col("step")), F.lit(1.0))).cast("int")).alias("per_year"))
 
 
 def monthly_climatology(obs: DataFrame, key: str = KEY) -> DataFrame:

@@ -83,7 +83,7 @@ def read_features(spark: SparkSession, path: str, multiline: bool = False) -> Da
     point = F.array(F.array(F.from_json(text, "array<double>")))
     rings = F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", multi).when(kind == "Point", point)
     named = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return flat.select(F.coalesce("id", F.xxhash64("properties", text).cast("string")).alias("fid"), F.col("properties").alias("attrs"), kind.alias("kind"), named.alias("rings"))
+    return flat.select(F.coalesce("id", F.xxhash64(F.to_json("properties"), text).cast("string")).alias("fid"), F.col("properties").alias("attrs"), kind.alias("kind"), named.alias("rings"))
 
 
 def outer_ring(rings: Column) -> Column:
