@@ -32,6 +32,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables cut from their lineage that go together when the work is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/chronogrid/work-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,10 +61,12 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % F.lit(n)
 
 
-def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
-    """mapInArrow over small batches."""
+def arrow_map(df: DataFrame, fn, schema, rows: int | None = None) -> DataFrame:
+    """mapInArrow over small batches; `fn` is given batches of at most `rows` rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    if rows is None:
+        return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows)), schema)
 
 
 def sample_ids(df: DataFrame, bound: int, key: str = "doc_id") -> DataFrame:

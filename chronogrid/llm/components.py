@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Workspace, cut
 
 ROUNDS = 60  #: far more than any graph needs; the number grows with the square of the logarithm of the nodes
 
@@ -19,22 +19,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nulls, loops, repeated edges and further columns of `edges` are ignored; without edges the result is empty.
     """
-    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
-    last = None
-    for _ in range(ROUNDS):
-        # large star: neighbours greater than a node are tied to the least of its neighbourhood
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        # small star: a node and its lesser neighbours are tied to the least of them
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        tied = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut(tied.distinct(), "small")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    with Workspace(edges.sparkSession) as work:
+        e = work.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
+        last = None
+        for _ in range(ROUNDS):
+            # large star: neighbours greater than a node are tied to the least of its neighbourhood
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            e = work.cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+            # small star: a node and its lesser neighbours are tied to the least of them
+            least = e.groupBy("u").agg(F.min("v").alias("m"))
+            tied = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+            e = work.cut(tied.distinct(), "small")
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == last:
+                break
+            last = now
+        else:
+            raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
+        roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")

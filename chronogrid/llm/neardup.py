@@ -3,11 +3,10 @@
 A text's set holds its distinct shingles of five words (with fewer words, the whole sequence).  Texts with equal sets are
 one node, named by their least doc_id.  128 universal hash minima make a signature; 32 bands of four minima make buckets
 (a pair at similarity 0.75 misses all of them with probability 5e-6).  In each bucket every node is paired with the
-bucket's least node, the pivot, never with all others; pairs are verified by their signatures, then by their full sets.
-After connected components only nodes of a bucket that are still apart are looked at again: the Jaccard distance is a
-metric, so two nodes whose distances from the pivot differ by more than 0.25 can't be linked, and the others are verified.
-Buckets in which that would be many pairs get further pivots first.  So no group of copies, however large, is expanded
-into its pairs, and no link between the texts of a bucket is lost.
+bucket's pivot, the node that meets the most others; pairs are verified by their signatures, then by their full sets.  After
+connected components only groups of nodes that buckets connect and links don't are looked at again: their nodes outside the
+largest component are held against the others in blocks, and only links leave a block.  So no group of copies, however
+large, is expanded into its pairs or met in one task, and no link between texts that share a bucket is lost.
 
 Null texts, and such without a word, have an empty set and are linked with nothing.  Rows of one doc_id are one document,
 even if their texts differ; ids must be below 2**62.  Rows without an id are grouped by their texts and keep a null
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import Workspace, arrow_map, cut
 from .components import components
 
 WORDS = 5  #: words of a shingle
@@ -32,8 +31,9 @@ MINIMA, ROWS = 128, 4  #: hash minima of a signature, and of them in a band
 SIMILAR = (75, 100)  #: linked if 100 * intersection >= 75 * union
 PASS_SIGNATURE = 0.5  #: estimated similarity from which full sets are compared; 6.5 standard errors below 0.75
 NO_ID = 1 << 62  #: from here on, nodes of texts whose rows have no id
-MANY = 2_000  #: pairs in one bucket beyond which it gets a further pivot
-PIVOT_ROUNDS = 12
+GROUP = 4_096  #: nodes that buckets connect, beyond which they are grouped by single buckets
+BLOCK_SHINGLES = 100_000  #: shingles of a block of nodes, about
+FILTER_LONGS = 1 << 16  #: 64-bit numbers in the filter of nodes; a fuller one lets more through, and nothing is lost
 
 _rng = np.random.default_rng(20240229)
 _place = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,97 +105,134 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "bands"])
 
 
-def _sets(batches):
-    """(node, sig, shingles) of every row."""
-    for b in batches:
-        ids, sets = b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist())
-        kept = [(NO_ID + (_key(s)[0] & (NO_ID >> 1) - 1) if i is None else i, signature(s).astype(np.uint32).view(np.int32), s.view(np.int64)) for i, s in zip(ids, sets, strict=True) if len(s)]
-        node, sig, s = zip(*kept, strict=True) if kept else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(s, pa.list_(pa.int64()))], ["node", "sig", "shingles"])
+def _node(ids: list, sets: list[np.ndarray]) -> list[int]:
+    return [NO_ID + (_key(s)[0] & (NO_ID >> 1) - 1) if i is None else i for i, s in zip(ids, sets, strict=True)]
+
+
+def _node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sig, shingles) of the documents that name `nodes`.
+
+    A filter of fixed size, or-ed together from the nodes' hashes, tells most other documents before their texts are read;
+    the join that follows is exact, however full the filter is.
+    """
+    slot = F.pmod(F.xxhash64("node"), F.lit(64 * FILTER_LONGS))
+    filled = nodes.select(F.floor(slot / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    table = np.zeros(FILTER_LONGS, np.int64)
+    for r in filled.collect():  # FILTER_LONGS rows at most
+        table[r["at"]] = r["bits"]
+    bits = docs.sparkSession.sparkContext.broadcast(table)
 
+    def sets(batches):
+        for b in batches:
+            slots = b.column("slot").to_numpy()
+            maybe = (bits.value[slots // 64] >> (slots % 64)) & 1 == 1
+            maybe |= np.array(b.column("doc_id").is_null())
+            b = b.filter(pa.array(maybe))
+            found = shingle_sets(b.column("text").to_pylist())
+            ids = _node(b.column("doc_id").to_pylist(), found)
+            kept = [(i, signature(s).astype(np.uint32).view(np.int32), s.view(np.int64)) for i, s in zip(ids, found, strict=True) if len(s)]
+            node, sig, s = zip(*kept, strict=True) if kept else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(node), pa.int64()), pa.array(list(sig), pa.list_(pa.int32())), pa.array(list(s), pa.list_(pa.int64()))], ["node", "sig", "shingles"])
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v, common, either) of `pairs` (u, v): sizes of intersection and union; both null for pairs that their signatures rule out."""
-    nodes = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    wanted = docs.join(nodes, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    sets = cut(arrow_map(wanted, _sets, "node long, sig array<int>, shingles array<long>"), "sets")
+    own = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)).alias("node")), F.lit(64 * FILTER_LONGS)).alias("slot"))
+    return arrow_map(own, sets, "node long, sig array<int>, shingles array<long>").join(nodes, "node", "left_semi")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `pairs` (u, v) whose signatures let it seem possible, and whose sets confirm it."""
     of = lambda x: sets.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v")
     same = F.size(F.filter(F.zip_with("sig_u", "sig_v", lambda a, b: a == b), lambda x: x))
-    common = F.when(same >= int(PASS_SIGNATURE * MINIMA), F.size(F.array_intersect("set_u", "set_v")).cast("long"))
-    counted = both.select("u", "v", common.alias("common"), F.size("set_u").alias("n_u"), F.size("set_v").alias("n_v"))
-    return cut(counted.select("u", "v", "common", F.when(F.col("common").isNotNull(), F.col("n_u") + F.col("n_v") - F.col("common")).alias("either")), "verified")
+    common = F.when(same >= int(PASS_SIGNATURE * MINIMA), F.size(F.array_intersect("set_u", "set_v")).cast("long")).otherwise(0)
+    counted = both.select("u", "v", common.alias("common"), (F.size("set_u") + F.size("set_v")).alias("n"))
+    return counted.where(F.col("common") * SIMILAR[1] >= (F.col("n") - F.col("common")) * SIMILAR[0]).select("u", "v").distinct()
+
+
+def _counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y."""
+    flat = np.concatenate(y)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(y)), [len(s) for s in y])[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for k, s in enumerate(x):
+        lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        out[k] = np.bincount(owner[at], minlength=len(y))
+    return out
 
 
-def _links(verified: DataFrame) -> DataFrame:
-    return verified.where(F.col("common") * SIMILAR[1] >= F.col("either") * SIMILAR[0]).select("u", "v")
+def _block_links(batches):
+    """Links between the two blocks of each row, of nodes that aren't connected yet."""
+    for b in batches:
+        u, v = [], []
+        for r in b.to_pylist():
+            x, y = r["xs"], r["ys"]
+            sx, sy = ([np.array(n["shingles"], np.int64) for n in side] for side in (x, y))
+            common = _counts(sx, sy)
+            either = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :] - common
+            apart = np.array([n["c"] for n in x])[:, None] != np.array([n["c"] for n in y])[None, :]
+            for i, j in zip(*np.nonzero((common * SIMILAR[1] >= either * SIMILAR[0]) & apart), strict=True):
+                u.append(x[i]["node"])
+                v.append(y[j]["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _residual(members: DataFrame, pairs: DataFrame, sets: DataFrame, root: DataFrame, work: Workspace) -> DataFrame:
+    """Links that the pivots didn't show: between nodes that share a bucket and aren't connected yet.
+
+    Nodes are grouped by what their buckets connect (by the bucket itself where that is many).  In a group of several
+    components, the nodes outside the largest are held against all others, in blocks of about BLOCK_SHINGLES; only links
+    leave a block.
+    """
+    united = components(pairs)
+    of_root = members.select("node").distinct().join(root, "node", "left").select("node", F.coalesce("root", "node").alias("c"))
+    size = united.groupBy(F.col("root").alias("union")).agg(F.count("*").alias("of"))
+    union = united.join(size, united["root"] == size["union"]).select("node", "union", "of")
+    small = union.where(F.col("of") <= GROUP).select("node", F.struct(F.lit(0).alias("kind"), F.col("union").alias("id")).alias("g"))
+    large = members.join(union.where(F.col("of") > GROUP).select("node"), "node").select("node", F.struct(F.lit(1).alias("kind"), F.col("bucket").alias("id")).alias("g"))
+    placed = small.unionByName(large).join(of_root, "node")
+    per = placed.groupBy("g", "c").agg(F.count("*").alias("n"))
+    main = per.groupBy("g").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("several")).where("several > 1").select("g", F.col("m.c").alias("main"))
+    open_ = work.cut(placed.join(main, "g").select("node", "g.kind", "g.id", "c", (F.col("c") != F.col("main")).alias("odd")), "open")
+    rows = work.cut(open_.join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node"), "open-sets")
+
+    def blocks(side: DataFrame, name: str, limit: int) -> DataFrame:
+        n = side.groupBy("kind", "id").agg(F.ceil(F.sum(F.size("shingles")) / limit).alias("blocks"))
+        dealt = side.join(n, ["kind", "id"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        return dealt.groupBy("kind", "id", "block").agg(F.collect_list(F.struct("node", "c", "shingles")).alias(name)).drop("block")
+
+    met = blocks(rows.where("odd"), "xs", BLOCK_SHINGLES).join(blocks(rows, "ys", 4 * BLOCK_SHINGLES), ["kind", "id"]).select("xs", "ys")
+    return arrow_map(met, _block_links, "u long, v long", rows=2).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = cut(arrow_map(docs, _sketches, "doc_id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
-    no_id = F.lit(NO_ID) + F.col("k1").bitwiseAND((NO_ID >> 1) - 1)
-    sets = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    sets = cut(sets.select("k1", "k2", F.coalesce("node", no_id).alias("node"), "bands"), "nodes")
-
-    buckets = sets.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("bucket", "pivot")
-    members = cut(buckets.join(shared, "bucket").distinct(), "members")
-    verified = _verified(docs, cut(members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "pairs"))
-    root = components(_links(verified))
-    members = members.join(verified.select(F.col("u").alias("pivot"), F.col("v").alias("node"), (1 - F.col("common") / F.col("either")).alias("d")).groupBy("pivot", "node").agg(F.min("d").alias("d")), ["pivot", "node"], "left")
-    members = members.withColumn("d", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
-    members = cut(_apart(members, root), "apart")
-    for k in range(PIVOT_ROUNDS + 1):
-        pairs, more = _residual_pairs(members, verified, last=k == PIVOT_ROUNDS)
-        if pairs is None:
-            break
-        verified = cut(verified.unionByName(_verified(docs, pairs)), "verified")
-        root = components(_links(verified))
-        if not more:
-            break
-        members = cut(_apart(members.drop("c"), root), "apart")
-
-    named = sets.select("k1", "k2", "node").join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-    found = sketches.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("root") < NO_ID, F.col("root"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
-    """Members, with their component c, of buckets that more than one component shares."""
-    found = members.join(root, "node", "left").select("bucket", "node", "pivot", "d", F.coalesce("root", "node").alias("c"))
-    several = found.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    return found.join(several, "bucket", "left_semi")
-
-
-def _residual_pairs(members: DataFrame, verified: DataFrame, last: bool) -> tuple[DataFrame | None, bool]:
-    """Pairs (u, v) of one bucket and two components that aren't verified, and whether buckets are left that were too large."""
-    main = members.where("node = pivot").select("bucket", F.col("c").alias("main"))
-    found = members.where("node <> pivot").join(main, "bucket")
-    odd = found.where("c <> main")
-    sizes = odd.groupBy("bucket").agg(F.count("*").alias("n_odd")).join(found.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-    large = sizes.where(F.col("n_odd") * F.col("n") > MANY).select("bucket")
-    small_odd, more = odd, False
-    pivots = None
-    if not last and large.take(1):
-        more = True
-        small_odd = odd.join(large, "bucket", "left_anti")
-        # in large buckets one more node, one that no pair verified yet has as its first, is held against all others
-        used = verified.select(F.col("u").alias("node")).distinct()
-        fresh = odd.join(large, "bucket", "left_semi").join(used, "node", "left_anti").groupBy("bucket").agg(F.min("node").alias("x"))
-        pivots = fresh.join(found.select("bucket", F.col("node").alias("y")), "bucket").where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    x = small_odd.select("bucket", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"))
-    y = found.select("bucket", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"), (F.col("c") != F.col("main")).alias("y_odd"))
-    close = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 1 - SIMILAR[0] / SIMILAR[1] + 1e-9, F.lit(True))
-    met = x.join(y, "bucket").where((F.col("cx") != F.col("cy")) & (~F.col("y_odd") | (F.col("x") < F.col("y"))) & close)
-    pairs = met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    if pivots is not None:
-        pairs = pairs.unionByName(pivots).distinct()
-    known = verified.select("u", "v").unionByName(verified.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    pairs = cut(pairs.join(known, ["u", "v"], "left_anti"), "residual")
-    return (pairs, more) if pairs.take(1) or more else (None, False)
+    with Workspace(docs.sparkSession) as work:
+        sketches = work.cut(arrow_map(docs, _sketches, "doc_id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
+        no_id = F.lit(NO_ID) + F.col("k1").bitwiseAND((NO_ID >> 1) - 1)
+        nodes = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+        nodes = work.cut(nodes.select("k1", "k2", F.coalesce("node", no_id).alias("node"), "bands"), "nodes")
+
+        buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+        shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "size")
+        members = work.cut(buckets.join(shared, "bucket").distinct(), "members")
+        # the pivot of a bucket is the node that meets the most others in all its buckets, as the origin of edited copies does
+        degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+        rated = members.join(degree, "node")
+        pivots = rated.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("u"))
+        pairs = work.cut(members.join(pivots, "bucket").where("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), "pairs")
+        sets = work.cut(_node_sets(docs, members.select("node").distinct()), "sets")
+        links = work.cut(_linked(pairs, sets), "links")
+        more = _residual(members, pairs, sets, components(links), work)
+        root = components(work.cut(links.unionByName(more), "all-links"))
+
+        named = nodes.select("k1", "k2", "node").join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+        found = sketches.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+        component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("root") < NO_ID, F.col("root"))
+        found = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        return cut(found, "near-duplicates")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
