@@ -2,7 +2,7 @@
 
 First every block is judged by itself: blocks under boilerplate elements, and such made of links, are out; blocks of an
 article, and long ones with many stop words, are in; the others are ambiguous.  Then an ambiguous block takes the label of
-its nearest decided neighbours: in if both sides are in, or the nearer one is (the one before on ties).
+the nearer of its decided neighbours (the one before it on ties), a heading that of the next one.
 
 Null and empty pages have an empty text.  Pages may be cut off anywhere and their tags unbalanced.  Pages of any length are
 read whole.  Repeated rows are read each; further columns are passed on (`text` and `n_chars` are replaced).
@@ -28,6 +28,7 @@ BLOCK = frozenset(
     "html body article main section header footer nav aside form fieldset div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre hr address figure figcaption center details summary dialog menu hgroup".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never have an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark furniture.
@@ -54,7 +55,7 @@ OPEN, OUT, IN = 0, 1, 2
 
 
 def blocks(page: str):
-    """(text, characters in links, in furniture, in an article) of each block that has text."""
+    """(text, characters in links, in furniture, in an article, a heading) of each block that has text."""
     found, parts, linked = [], [], 0
     stack: list[tuple[str, bool, bool]] = []  # name, in furniture, in an article
     links = 0
@@ -63,7 +64,8 @@ def blocks(page: str):
         nonlocal linked
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            found.append((text, linked, stack[-1][1] if stack else False, stack[-1][2] if stack else False))
+            name, out, article = stack[-1] if stack else ("", False, False)
+            found.append((text, linked, out, article, name in HEADINGS))
         parts.clear()
         linked = 0
 
@@ -137,7 +139,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    label = [first_label(*b) for b in found]
+    label = [first_label(*b[:4]) for b in found]
     before, after, n = [None] * len(found), [None] * len(found), len(found)
     for into, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last = None
@@ -150,6 +152,8 @@ def main_text(page: str | None) -> str:
         own = label[k]
         if own == OPEN:
             sides = [s for s in (before[k], after[k]) if s is not None]
+            if b[4] and after[k] is not None:  # a heading goes with what follows it
+                sides = [after[k]]
             own = label[min(sides, key=lambda s: (abs(s - k), s))] if sides else IN if len(b[0]) >= LONG else OUT
         if own == IN:
             kept.append(b[0])

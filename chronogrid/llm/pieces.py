@@ -203,7 +203,7 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """Text of pieces: control pieces vanish, byte pieces are read as UTF-8 (a wrong byte as U+FFFD), one leading space goes."""
+        """Text of pieces: control pieces vanish, byte pieces are read as UTF-8 (a wrong byte as U+FFFD), the space that a first piece begins with goes."""
         shown, byte_of = self.shown, self.byte_of
         if byte_of.keys().isdisjoint(ids):
             out = [shown[i] if self.kind[i] != CONTROL else "" for i in ids] if any(i < 3 for i in ids) else list(map(shown.__getitem__, ids))
@@ -219,7 +219,8 @@ class Pieces:
                 if i is not None and self.kind[i] != CONTROL:
                     out.append(" ⁇ " if self.kind[i] == UNKNOWN else shown[i])
         text = "".join(out)
-        return text[1:] if self.prefix and text[:1] == " " else text
+        first = next((i for i in ids if self.kind[i] != CONTROL), None)
+        return text[1:] if self.prefix and first is not None and self.text[first].startswith(MARK) else text
 
 
 def utf8(data: bytes) -> str:

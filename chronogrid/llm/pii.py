@@ -193,10 +193,11 @@ def sanitised(text: Column, spans: Column, terms: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with sanitised texts; n_chars, if there is such a column, follows them.  Null texts stay null."""
     found = detected(docs.select("doc_id", "text")).where((F.size("spans") > 0) | (F.size("terms") > 0))
-    found = found.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "spans", "terms").dropDuplicates(["s_id", "s_hash"])
+    mine = ("__pii_id", "__pii_hash", "__pii_spans", "__pii_terms")  # whatever the documents' other columns are called
+    found = found.select("doc_id", "text_hash", "spans", "terms").toDF(*mine).dropDuplicates(list(mine[:2]))
     text_hash = F.xxhash64(F.lit(1), F.coalesce(F.col("text"), F.lit("")))
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("s_id")) & (text_hash == F.col("s_hash")), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(sanitised(F.col("text"), F.col("spans"), F.col("terms")))
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col(mine[0])) & (text_hash == F.col(mine[1])), "left")
+    text = F.when(F.col(mine[2]).isNull(), F.col("text")).otherwise(sanitised(F.col("text"), F.col(mine[2]), F.col(mine[3])))
     out = out.withColumn("text", text).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
