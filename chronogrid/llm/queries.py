@@ -60,6 +60,41 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All pairs that share a shingle, and what their links connect.
+NEAR_DUPLICATES_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS s FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  l AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+  r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a),
+  c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON d.doc_id = c.doc_id"""
+
+
+def _canonical_sql(url: str) -> str:
+    host = f"regexp_replace(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '^(?:www|m)\\.', '')"
+    path = f"regexp_replace(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?:/|\\.html?|/index\\.html?)$', '')"
+    kept = f"list_sort(list_filter(string_split(regexp_extract({url}, '(?s)^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^{urls.TRACKING}=')))"
+    return f"CASE WHEN contains({url}, '://') THEN {host} || {path} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END END"
+
+
+def _urls_sql() -> str:
+    ordered = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"ends_with('.' || host, '.{h}') AND starts_with(path, '{p}')", v, h + p) for v, h, p in ordered]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, _, r in fits) + " END"
+    own = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v, _ in fits) + " END"
+    link = "regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)"
+    sent = "regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b[^>]*\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)', 1)"
+    shared = "regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bproperty\\s*=\\s*[\"'']?og:url\\b[^>]*>'), '(?is)\\bcontent\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)"
+    return f"""WITH RECURSIVE p AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, {_canonical_sql("url")} AS k FROM pages),
+      o AS (SELECT *, {rule} AS rule, {own} AS own FROM p), t AS (SELECT k, replace(unnest([{link}, {sent}, {shared}]), '&amp;', '&') AS t FROM p WHERE html IS NOT NULL),
+      e AS (SELECT k AS a, {_canonical_sql("t")} AS b FROM t WHERE t <> ''), b AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
+      r(k, reached) AS (SELECT DISTINCT k, k FROM o WHERE k IS NOT NULL UNION SELECT r.k, b.b FROM r JOIN b ON r.reached = b.a),
+      v AS (SELECT r.k, bool_or(o.own = 'block') AND NOT bool_or(coalesce(o.own, '') = 'allow') AS blocked FROM r JOIN o ON r.reached = o.k GROUP BY r.k)
+      SELECT page_id, host, path, rule, coalesce(own, CASE WHEN v.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM o LEFT JOIN v ON o.k = v.k"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of those operators that SQL can express; the others are tested against brute force, round trips or held-out accuracy."""
-    return {}
+    return {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op5_urls": _urls_sql()}
