@@ -128,7 +128,12 @@ def false_discovery(tests: DataFrame, p: str, alpha: float, by: str) -> DataFram
 
 
 def patches(cells: DataFrame, cut, diagonal: bool = False) -> DataFrame:
-    """Connected patches of cells (x, y, value) of equal values: patch (its least cell's number), value, cells.
+    """Connected patches of cells (x, y, value) of equal values: patch (its least cell's number), value, cells."""
+    return patch_labels(cells, cut, diagonal).groupBy(F.col("label").alias("patch"), "value").agg(F.count("*").alias("cells"))
+
+
+def patch_labels(cells: DataFrame, cut, diagonal: bool = False) -> DataFrame:
+    """x, y, value and the label of each cell's patch.
 
     Labels spread by the least of the neighbours' and double their reach by following the labels' own labels; `cut` ends
     lineage after each round, for instance DataFrame.checkpoint.
@@ -150,4 +155,24 @@ def patches(cells: DataFrame, cut, diagonal: bool = False) -> DataFrame:
         if not new.where("label <> was").take(1):
             break
         labels = new.select("id", "label")
-    return known.join(labels, "id").groupBy(F.col("label").alias("patch"), "value").agg(F.count("*").alias("cells"))
+    return known.join(labels, "id").select("x", "y", "value", "label")
+
+
+def sieved(cells: DataFrame, smallest: int, cut) -> DataFrame:
+    """Cells of patches of fewer than `smallest` cells take the most frequent class around them (the least on ties), if there is another one."""
+    labels = patch_labels(cells, cut)
+    size = labels.groupBy("label").agg(F.count("*").alias("size"))
+    marked = labels.join(size, "label").select("x", "y", "value", (F.col("size") < smallest).alias("small"))
+    around = spread(marked.where("not small"), [(a, b) for a, b in offsets(1) if (a, b) != (0, 0)], [])
+    votes = around.groupBy("x", "y", "v").agg(F.count("*").alias("n")).groupBy("x", "y").agg(F.max(F.struct("n", (-F.col("v")).alias("v"))).alias("b"))
+    out = marked.join(votes, ["x", "y"], "left")
+    return out.select("x", "y", F.when(F.col("small"), F.coalesce(-F.col("b.v"), F.col("value"))).otherwise(F.col("value")).alias("value"))
+
+
+def smoothed_probabilities(cells: DataFrame, radius: int, weight: float) -> DataFrame:
+    """Bayesian smoothing of class probabilities (x, y, class, value) in logits: the neighbourhood's mean and the cell's own, weighted by their variances (`weight` is the own one)."""
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("value")))
+    logit = cells.select("x", "y", "class", F.log(p / (1 - p)).alias("value"))
+    near = focal(logit, offsets(radius), ["class"], m=F.avg("v"), s2=F.var_pop("v"))
+    mixed = (F.col("s2") * F.col("value") + weight * F.col("m")) / (F.col("s2") + weight)
+    return near.select("x", "y", "class", (1 / (1 + F.exp(-mixed))).alias("value"))

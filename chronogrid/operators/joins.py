@@ -143,3 +143,45 @@ def resolved_labels(labels: DataFrame) -> DataFrame:
 
 def strata_without_samples(strata: DataFrame, samples: DataFrame) -> DataFrame:
     return strata.select("stratum").distinct().join(samples.select("stratum").distinct(), "stratum", "left_anti")
+
+
+def line_profile(lines: DataFrame, cells: DataFrame, obs: DataFrame, step: float = 1.0) -> DataFrame:
+    """Values along lines (line, x0, y0, x1, y1) every `step` cells, from the nearest cell: line, distance, px, ts, value."""
+    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    points = lines.select("line", "x0", "y0", "x1", "y1", length.alias("length"), F.explode(F.sequence(F.lit(0), F.floor(length / step).cast("int"))).alias("k"))
+    share = F.try_divide(F.col("k") * F.lit(step), F.col("length"))
+    at = lambda c: F.floor(F.col(f"{c}0") + F.coalesce(share, F.lit(0.0)) * (F.col(f"{c}1") - F.col(f"{c}0")) + 0.5)
+    put = points.select("line", (F.col("k") * F.lit(step)).alias("distance"), at("x").alias("cx"), at("y").alias("cy"))
+    named = cells.select("px", F.floor("x").alias("cx"), F.floor("y").alias("cy"))
+    return put.join(named, ["cx", "cy"]).join(obs, "px").select("line", "distance", "px", "ts", "value")
+
+
+def feature_series(obs: DataFrame, cells: DataFrame, zones: DataFrame, points: DataFrame, width: int) -> DataFrame:
+    """Each feature's series: the mean over a polygon's cells, the cell's own value at a point (feature, x, y)."""
+    inside_ = cells_in_zones(cells, zones).select(F.col("zone").cast("string").alias("feature"), "px")
+    at = points.select(F.col("feature").cast("string").alias("feature"), (F.floor("y") * width + F.floor("x")).cast("long").alias("px"))
+    return obs.join(inside_.unionByName(at), "px").groupBy("feature", "ts").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
+
+
+def buffered_folds(points: DataFrame, radius: float) -> DataFrame:
+    """For each point (id, x, y), how many others lie within a radius and so leave its training set; points are dealt by tiles as wide as the radius."""
+    tile = lambda c: F.floor(F.col(c) / radius)
+    a = points.select("id", "x", "y", F.explode(F.sequence(tile("x") - 1, tile("x") + 1)).alias("tx"), tile("y").alias("t")).select("id", "x", "y", "tx", F.explode(F.sequence(F.col("t") - 1, F.col("t") + 1)).alias("ty"))
+    b = points.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), tile("x").alias("tx"), tile("y").alias("ty"))
+    near = a.join(b, ["tx", "ty"]).where((F.col("id") != F.col("other")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius))
+    return points.select("id").join(near.groupBy("id").agg(F.count("*").alias("left_out")), "id", "left").select("id", F.coalesce("left_out", F.lit(0)).alias("left_out"))
+
+
+EARTH = 6_371_007.2  #: radius in metres of the sphere of the Earth's area
+
+
+def cell_area(lat: Column, size: float) -> Column:
+    """Square metres of a cell of `size` degrees whose centre is at a latitude, on the authalic sphere."""
+    band = F.sin(F.radians(lat + size / 2)) - F.sin(F.radians(lat - size / 2))
+    return F.lit(EARTH * EARTH) * F.radians(F.lit(size)) * band
+
+
+def class_areas(classes: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """Hectares of each class and date, with the whole of each date (class NULL), from cells (px, lat) of `size` degrees."""
+    rows = classes.join(cells.select("px", (cell_area(F.col("lat"), size) / 10000).alias("ha")), "px")
+    return rows.rollup("ts", "class").agg(F.sum("ha").alias("ha"), F.count("*").alias("n"), F.grouping("class").alias("whole")).where("ts is not null").drop("whole")

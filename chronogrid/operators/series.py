@@ -204,3 +204,24 @@ def flows(classes: DataFrame, least_share: float) -> DataFrame:
     w = Window.partitionBy("px").orderBy("period")
     pairs = named.select("period", F.lead("period").over(w).alias("next_period"), F.col("class").alias("from"), F.lead("class").over(w).alias("to"))
     return pairs.where("next_period is not null").groupBy("period", "next_period", "from", "to").agg(F.count("*").alias("n"))
+
+
+def composite_around(obs: DataFrame, day: str, days: int, key: str = KEY) -> DataFrame:
+    """One image of the dates within `days` of a day: mean, median, number."""
+    near = obs.where(F.abs(F.datediff(F.to_date("ts"), F.lit(day).cast("date"))) <= days)
+    return near.groupBy(key).agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.count("value").alias("n"))
+
+
+def gap_filled(obs: DataFrame, key: str = KEY) -> DataFrame:
+    """Dates without a value take it from the line between the valid dates around them; at the ends the nearest value."""
+    t = calendar.epoch(F.col("ts"))
+    known = F.when(F.col("value").isNotNull(), F.struct(t.alias("t"), F.col("value").alias("v")))
+    rows = obs.withColumn("a", F.last(known, ignorenulls=True).over(in_order(key).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("b", F.first(known, ignorenulls=True).over(in_order(key).rowsBetween(0, Window.unboundedFollowing)))
+    line = F.col("a.v") + divide(F.col("b.v") - F.col("a.v"), (F.col("b.t") - F.col("a.t")).cast("double")) * (t - F.col("a.t"))
+    return rows.select(key, "ts", F.coalesce("value", line, "a.v", "b.v").alias("value"))
+
+
+def stretch(obs: DataFrame, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
+    """Limits between which the middle of all values lies, for display: exact percentiles of a date's values."""
+    return obs.groupBy("ts").agg(F.percentile("value", lo).alias("lo"), F.percentile("value", hi).alias("hi"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +42,17 @@ def centroids(labelled: DataFrame) -> DataFrame:
     return per.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda p: p["v"]).alias("centroid"))
 
 
+def unit(a: Column) -> Column:
+    """A vector at length 1; NULL where it has none."""
+    length = norm(a)
+    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length))
+
+
 def classify_nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """The label whose centroid has the greatest cosine, the least label on ties.  Centres are one row a label, broadcast as one array."""
-    table = centres.agg(F.collect_list(F.struct("label", "centroid")).alias("centres"))
-    rated = vectors.join(F.broadcast(table))  # one row
-    best = F.array_max(F.transform("centres", lambda c: F.struct(F.round(cosine(F.col("vector"), c["centroid"]), 12).alias("s"), (-c["label"]).alias("l"))))
+    """The label whose centroid has the greatest cosine, the least label on ties.  Centres are one row a label, broadcast as one array of unit vectors."""
+    table = centres.select("label", unit(F.col("centroid")).alias("u")).agg(F.collect_list(F.struct("label", "u")).alias("centres"))
+    rated = vectors.select("id", "vector", norm(F.col("vector")).alias("length")).join(F.broadcast(table))  # one row
+    best = F.array_max(F.transform("centres", lambda c: F.struct(F.round(divide(dot(F.col("vector"), c["u"]), F.when(F.col("length") > 0, F.col("length"))), 12).alias("s"), (-c["label"]).alias("l"))))
     return rated.select("id", best.alias("b")).select("id", (-F.col("b.l")).alias("label"), F.col("b.s").alias("similarity"))
 
 
@@ -62,17 +70,41 @@ def restored(stored: DataFrame) -> DataFrame:
 
 
 def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2_000) -> DataFrame:
-    """The k ids of the greatest cosine for each of a bounded set of query vectors; the queries go round as one broadcast array, in blocks."""
-    out = None
-    ids = queries.select("id").distinct().count()
-    for part in range(max(1, -(-ids // block))):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-ids // block)))) == part)
-        table = own.agg(F.collect_list(F.struct(F.col("id").alias("q"), F.col("vector").alias("w"))).alias("queries"))
-        rated = vectors.join(F.broadcast(table)).select("id", "vector", F.explode("queries").alias("q"))
-        rated = rated.where("q.q <> id").select(F.col("q.q").alias("query"), "id", F.round(cosine(F.col("vector"), F.col("q.w")), 9).alias("similarity"))
-        ranked = rated.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    """The k ids of the greatest cosine for each of a stated set of query vectors (the lesser id on ties), exactly.
+
+    Queries go round in blocks of about `block`; each batch of vectors is held against a block by one matrix product and
+    keeps its own best k for each query, so that what is shuffled is a few rows for each batch and query.
+    """
+    n = queries.select("id").distinct().count()
+    blocks, out = max(1, -(-n // block)), None
+    for part in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == part).select("id", unit(F.col("vector")).alias("u")).where("u is not null").collect()
+        if not rows:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["u"] for r in rows], float)))
+
+        def best(batches, shared=shared):
+            ids, against = shared.value
+            for b in batches:
+                own, x = b.column("id").to_numpy(), np.array(b.column("vector").to_pylist(), float).reshape(b.num_rows, -1)
+                length = np.sqrt((x * x).sum(axis=1))
+                found = length > 0
+                own, x = own[found], x[found] / length[found, None]
+                if not len(own):
+                    continue
+                s = np.round(x @ against.T, 9)
+                s[own[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(own[:, None], s.shape), -s), axis=0)[:k]
+                q = np.broadcast_to(np.arange(len(ids)), order.shape)
+                keep = np.isfinite(s[order, q])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(own[order[keep]]), pa.array(s[order[keep], q[keep]])], ["query", "id", "similarity"])
+
+        near = vectors.select(F.col("id").cast("long").alias("id"), "vector").where("vector is not null").mapInArrow(best, "query long, id long, similarity double")
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "query long, id long, similarity double, rank int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def dissimilarity(points: DataFrame, training: DataFrame) -> DataFrame:

@@ -218,3 +218,14 @@ def _sensors(s, d):
 
     i = table(s, d, "lineitem")
     return i.groupBy(F.col("l_suppkey").alias("px"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_returnflag").alias("sensor")).agg(F.max("l_quantity").alias("value"))
+
+R.add("composite_around_day", lambda s, d: S.composite_around(obs(s, d), "1997-07-01", 120), f"SELECT px, avg(value) AS mean, median(value) AS median, count(value) AS n FROM ({OBS}) WHERE abs(ts::DATE - DATE '1997-07-01') <= 120 GROUP BY px", "mean median")
+R.add(
+    "gap_filling", lambda s, d: S.gap_filled(obs(s, d)),
+    f"""WITH f AS (SELECT px, ts, epoch(ts) AS t, value, last_value(CASE WHEN value IS NOT NULL THEN {{'t': epoch(ts), 'v': value}} END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+      first_value(CASE WHEN value IS NOT NULL THEN {{'t': epoch(ts), 'v': value}} END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM ({OBS}) WINDOW w AS (PARTITION BY px ORDER BY ts))
+    SELECT px, ts, coalesce(value, a.v + (z.v - a.v) / nullif(z.t - a.t, 0) * (t - a.t), a.v, z.v) AS value FROM f""",
+    "value",
+)
+R.add("display_stretch", lambda s, d: S.stretch(obs(s, d).withColumn("ts", F.date_trunc("month", "ts"))), f"SELECT date_trunc('month', ts)::TIMESTAMP AS ts, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM ({OBS}) GROUP BY 1", "lo hi")
+R.add("scatter_of_dates", lambda s, d: T.regularize(obs(s, d), "year").alias("a").join(T.regularize(obs(s, d), "year").alias("b"), "px").where("a.period = '1996-01-01' and b.period = '1998-01-01'").select("px", F.col("a.value").alias("x"), F.col("b.value").alias("y")), f"SELECT px, median(value) FILTER (year(ts) = 1996) AS x, median(value) FILTER (year(ts) = 1998) AS y FROM ({OBS}) GROUP BY px HAVING min(year(ts)) <= 1996 AND max(year(ts)) >= 1998", "x y")

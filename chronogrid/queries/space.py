@@ -221,3 +221,42 @@ def _points(s, d):
 
 
 R.add("percentile_scaling", lambda s, d: E.percentile_scaled(obs(s, d)), f"SELECT px, ts, CASE WHEN value IS NOT NULL THEN least(1, greatest(1e-4, (value - a) / (b - a))) END AS value FROM ({OBS}), (SELECT quantile_cont(value, 0.02) AS a, quantile_cont(value, 0.98) AS b FROM ({OBS}))", "value")
+
+
+# -- lines, features, areas ----------------------------------------------------------------------------------------------
+LINES = [("a", 0.0, 0.0, 30.0, 20.0), ("b", 49.0, 5.0, 10.0, 5.0), ("c", 7.2, 3.3, 7.2, 3.3)]
+
+
+def _lines_sql() -> str:
+    """Points of the lines every 2 cells, and their nearest cells."""
+    import math
+
+    out = []
+    for name, x0, y0, x1, y1 in LINES:
+        length = math.hypot(x1 - x0, y1 - y0)
+        for k in range(int(length // 2) + 1):
+            share = 2.0 * k / length if length else 0.0
+            out.append(f"('{name}', {2.0 * k}::DOUBLE, {math.floor(x0 + share * (x1 - x0) + 0.5)}, {math.floor(y0 + share * (y1 - y0) + 0.5)})")
+    return f"(VALUES {', '.join(out)}) AS l(line, distance, cx, cy)"
+
+
+R.add("line_profiles", lambda s, d: J.line_profile(s.createDataFrame(LINES, "line string, x0 double, y0 double, x1 double, y1 double"), cells(s, d), obs(s, d), 2.0), f"SELECT line, distance, o.px, ts, value FROM {_lines_sql()} JOIN ({CELLS}) c ON c.x = cx AND c.y = cy JOIN ({OBS}) o ON o.px = c.px", "distance value")
+R.add("feature_series", lambda s, d: J.feature_series(obs(s, d).withColumn("ts", F.date_trunc("month", "ts")), cells(s, d), zones(s), cells(s, d).where("px % 100 = 3").select(F.concat(F.lit("p"), F.col("px").cast("string")).alias("feature"), (F.col("x") + 0.3).alias("x"), (F.col("y") + 0.9).alias("y")), 50), f"""SELECT feature, date_trunc('month', ts)::TIMESTAMP AS ts, avg(value) AS value, count(value) AS n FROM ({OBS}) o JOIN (
+    SELECT zone::VARCHAR AS feature, px FROM ({INSIDE}) UNION ALL SELECT 'p' || px, px FROM ({CELLS}) WHERE px % 100 = 3) f ON o.px = f.px GROUP BY 1, 2""", "value")
+R.add("buffered_folds", lambda s, d: J.buffered_folds(cells(s, d).select(F.col("px").alias("id"), "x", "y"), 2.5), f"SELECT a.px AS id, count(b.px) AS left_out FROM ({CELLS}) a LEFT JOIN ({CELLS}) b ON a.px <> b.px AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2.5 GROUP BY 1")
+R.add("class_areas", lambda s, d: J.class_areas(classes(s, d).withColumnRenamed("period", "ts"), cells(s, d).select("px", (F.col("y") - 15).alias("lat")), 1.0), f"""SELECT ts, class, sum(ha) AS ha, count(*) AS n FROM (SELECT period AS ts, class, 6371007.2 * 6371007.2 * radians(1.0) * (sin(radians(y - 14.5)) - sin(radians(y - 15.5))) / 10000 AS ha FROM ({CLASSES}) k JOIN ({CELLS}) c ON k.px = c.px) GROUP BY ROLLUP (ts, class) HAVING ts IS NOT NULL""", "ha", 1)
+R.add("sieved_patches", lambda s, d: G.sieved(classes(s, d).where("period = 1997").select((F.col("px") % 50).alias("x"), F.floor(F.col("px") / 50).alias("y"), F.col("class").alias("value")), 3, _cut), f"""WITH RECURSIVE c AS ({PATCH}), r(id, label) AS (SELECT id, id FROM c UNION SELECT b.id, r.label FROM r JOIN c a ON r.id = a.id JOIN c b ON a.value = b.value AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+    l AS (SELECT id, min(label) AS label FROM r GROUP BY id), m AS (SELECT c.*, count(*) OVER (PARTITION BY label) < 3 AS small FROM c JOIN l ON c.id = l.id),
+    v AS (SELECT x, y, arg_max(v, (n, -v)) AS v FROM (SELECT a.x, a.y, b.value AS v, count(*) AS n FROM m a JOIN m b ON NOT b.small AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT m.x, m.y, CASE WHEN small THEN coalesce(v, value) ELSE value END AS value FROM m LEFT JOIN v ON m.x = v.x AND m.y = v.y""")
+R.add("probability_smoothing", lambda s, d: G.smoothed_probabilities(grid(s, d).select("x", "y", F.col("ts").alias("class"), (F.col("value") / 60).alias("value")), 1, 0.3), f"""WITH g AS (SELECT x, y, ts AS class, ln((value / 60) / (1 - value / 60)) AS v FROM ({GRID})), n AS (SELECT a.x, a.y, a.class, any_value(a.v) AS v, avg(b.v) AS m, var_pop(b.v) AS s FROM g a JOIN g b ON a.class = b.class AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3)
+    SELECT x, y, class, 1 / (1 + exp(-((s * v + 0.3 * m) / (s + 0.3)))) AS value FROM n""", "value")
+R.add("first_valid_mosaic", lambda s, d: _mosaic(s, d), "SELECT k.px, k.day, v AS value FROM (SELECT DISTINCT l_suppkey::BIGINT AS px, date_trunc('month', l_shipdate)::DATE AS day FROM lineitem) k LEFT JOIN (SELECT l_suppkey AS px, date_trunc('month', l_shipdate)::DATE AS day, arg_min(l_quantity, (l_orderkey * 10 + l_linenumber, l_quantity)) AS v FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1, 2) m ON k.px = m.px AND k.day = m.day", "value")
+
+
+def _mosaic(s, d):
+    from ..sources.catalogues import mosaic
+
+    i = table(s, d, "lineitem")
+    rows = i.select(F.col("l_suppkey").cast("long").alias("px"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("day"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_order"), F.when(F.col("l_linenumber") != 1, F.col("l_quantity")).alias("value"))
+    return mosaic(rows, ["px", "day"])
