@@ -197,12 +197,16 @@ def _residual(members: DataFrame, pairs: DataFrame, sets: DataFrame, root: DataF
     open_ = work.cut(placed.join(main, "g").select("node", "g.kind", "g.id", "c", (F.col("c") != F.col("main")).alias("odd")), "open")
     rows = work.cut(open_.join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node"), "open-sets")
 
-    def blocks(side: DataFrame, name: str, limit: int) -> DataFrame:
-        n = side.groupBy("kind", "id").agg(F.ceil(F.sum(F.size("shingles")) / limit).alias("blocks"))
-        dealt = side.join(n, ["kind", "id"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        return dealt.groupBy("kind", "id", "block").agg(F.collect_list(F.struct("node", "c", "shingles")).alias(name)).drop("block")
-
-    met = blocks(rows.where("odd"), "xs", BLOCK_SHINGLES).join(blocks(rows, "ys", 4 * BLOCK_SHINGLES), ["kind", "id"]).select("xs", "ys")
+    size, key = F.size("shingles"), ["kind", "id"]
+    of = rows.groupBy(*key).agg(F.ceil(F.sum(F.when(F.col("odd"), size)) / BLOCK_SHINGLES).alias("xn"), F.ceil(F.sum(size) / (4 * BLOCK_SHINGLES)).alias("yn"))
+    dealt = rows.join(of, key)
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # a block is gathered where its own number sends it, not where its group's key does, and so is each pair of blocks
+    xs = dealt.where("odd").withColumn("xb", block("xn")).repartition(*key, "xb").groupBy(*key, "xb", "yn").agg(F.collect_list(F.struct("node", "c", "shingles")).alias("xs"))
+    ys = dealt.withColumn("yb", block("yn")).repartition(*key, "yb").groupBy(*key, "yb", "xn").agg(F.collect_list(F.struct("node", "c", "shingles")).alias("ys"))
+    xs, ys = xs.select(*key, "xb", every("yn").alias("yb"), "xs"), ys.select(*key, "yb", every("xn").alias("xb"), "ys")
+    met = xs.join(ys, [*key, "xb", "yb"]).select("xs", "ys")
     return arrow_map(met, _block_links, "u long, v long", rows=2).distinct()
 
 
