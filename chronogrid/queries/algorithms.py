@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indices
 from ..kernels import changes as C
+from ..kernels import images as I
 from ..kernels import trends as T
 from ..kernels.run import per_key, per_key_bands
 from ..lang import Cube
@@ -69,6 +70,14 @@ R.add("irmad", lambda s, d: L.altered_by_reweighting(_means(s, d, 1996), _means(
 R.add("texture", lambda s, d: L.texture(grid(s, d).where("ts = 1997"), 8, 20.0, 32.0, 1, 5))
 R.add("tuned_settings", lambda s, d: _tuned(s, d))
 R.add("nadir_adjusted", lambda s, d: indices.nadir_adjusted(_angles(s, d), ["red", "nir"]))
+R.add("superpixels", lambda s, d: I.per_tile(_customers(s, d), ["s"], 16, I.superpixels(4, 0.5), "segment long"))
+R.add("tile_shifts", lambda s, d: I.per_tile(_customers(s, d), ["s", "moved"], 16, I.shift_by_tile(4), "dx double, dy double, peak double"))
+
+
+def _customers(s, d):
+    """Mean prices (in 100,000) on a grid of 50 columns, and the same a cell to the right."""
+    g = obs(s, d).groupBy("px").agg((F.avg("value") / 100000).alias("s")).select((F.col("px") % 50).alias("x"), F.floor(F.col("px") / 50).alias("y"), "s")
+    return g.join(g.select((F.col("x") + 1).alias("x"), "y", F.col("s").alias("moved")), ["x", "y"], "left")
 
 
 def _direction(s, d):

@@ -122,3 +122,20 @@ def test_time_warping_and_phenology():
     dense = 2000 + np.arange(0, 366, 8) / 365.25
     found = C.phenology(lmbda=0.1)(dense, np.exp(-(((dense - 2000.5) * 365.25 / 40) ** 2)))
     assert found[0]["peak_doy"] == pytest.approx(183, abs=8) and found[0]["start_doy"] == pytest.approx(183 - 40 * math.sqrt(math.log(2)), abs=8)
+
+
+def test_superpixels_and_shifts():
+    from chronogrid.kernels import images as I
+
+    image = np.zeros((16, 16, 1))
+    image[:, 8:] = 5.0
+    image[3, 3] = np.nan
+    label = I.superpixels(8, 0.5)(image)["segment"]
+    assert label[3, 3] == 0 and set(np.unique(label[:, :8])) & set(np.unique(label[:, 8:])) == set()
+    assert (label > 0).sum() == 255
+    rng = np.random.default_rng(1)
+    a = rng.normal(0, 1, (32, 32))
+    b = np.roll(a, (2, -3), axis=(0, 1))
+    found = I.shift_by_tile(5)(np.dstack([a, b]))[0]
+    assert (found["dx"], found["dy"]) == (-3.0, 2.0)
+    assert I.shift_by_tile(5)(np.full((8, 8, 2), np.nan))[0]["dx"] is None
