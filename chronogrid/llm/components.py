@@ -25,10 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         for _ in range(ROUNDS):
             # large star: neighbours greater than a node are tied to the least of its neighbourhood
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            # (a table of its own, so that the join can split the centre of a large star)
+            least = work.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
             e = work.cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
             # small star: a node and its lesser neighbours are tied to the least of them
-            least = e.groupBy("u").agg(F.min("v").alias("m"))
+            least = work.cut(e.groupBy("u").agg(F.min("v").alias("m")), "least")
             tied = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
             e = work.cut(tied.distinct(), "small")
             now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -220,12 +220,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nodes = work.cut(nodes.select("k1", "k2", F.coalesce("node", no_id).alias("node"), "bands"), "nodes")
 
         buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-        shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "size")
+        # (what is joined by bucket is a table of its own, so that the join can split a hot bucket)
+        shared = work.cut(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "size"), "shared")
         members = work.cut(buckets.join(shared, "bucket").distinct(), "members")
         # the pivot of a bucket is the node that meets the most others in all its buckets, as the origin of edited copies does
-        degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+        degree = work.cut(members.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
         rated = members.join(degree, "node")
-        pivots = rated.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("u"))
+        pivots = work.cut(rated.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("u")), "pivots")
         pairs = work.cut(members.join(pivots, "bucket").where("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), "pairs")
         sets = work.cut(_node_sets(docs, members.select("node").distinct()), "sets")
         links = work.cut(_linked(pairs, sets), "links")
