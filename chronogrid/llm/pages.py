@@ -35,9 +35,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|"
     r"nav|navbar|navigation|menu\w*|breadcrumb\w*|pagination|pager|sidebar\w*|side-?bar|aside|widget\w*|related|recommend\w*|share|sharing|social|"
-    r"comment\w*|disqus|respond|replies|footer|header|masthead|topbar|toolbar|copyright|legal|disclaimer|complementary|contentinfo)(?=$|[\s_-])",
+    r"comment\w*|disqus|respond|replies|toolbar|copyright|legal|disclaimer|complementary|contentinfo)(?=$|[\s_-])",
     re.I,
 )
+#: Such that mark furniture outside an article only: inside, they belong to it.
+SITE_MARKS = re.compile(r"(?:^|[\s_-])(?:footer|header|masthead|topbar)(?=$|[\s_-])", re.I)
 #: Frequent function words of the languages that are told by density.  Fixed values, in natural order.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has have he her his i in is it not of on or she that the their they this to was we were will with you "
@@ -115,7 +117,7 @@ def blocks(page: str):
         if name in BLOCK or name in SKIPPED or m[3]:
             _, out, article = stack[-1] if stack else ("", False, False)
             said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
-            marked = any(k in said and MARKS.search(said[k]) for k in ("class", "id", "role"))
+            marked = any(k in said and (MARKS.search(said[k]) or not article and SITE_MARKS.search(said[k])) for k in ("class", "id", "role"))
             out = out or name in FURNITURE or name in SKIPPED or (name == "header" and not article) or (marked and name not in ("html", "body", "article", "main"))
             article = article or name in ("article", "main") or said.get("role") == "main"
             stack.append((name, out, article))

@@ -306,6 +306,7 @@ def test_main_text(spark):
     )
     assert pages.main_text(page).split("\n") == ["Title here", "This is the long paragraph of the article and it has many words in it for the test.", "Short & one. Line", "And this is another of the long paragraphs that have to be found by the rules in it."]
     assert pages.main_text("<article><ul><li>one<li>two</ul>x<br>y") == "one\ntwo\nx y"
+    assert pages.main_text("<div class=site-header>Top</div><article><div class=entry-header><h1>Title</h1></div><p>Text</p><div class='post comments'><p>Me too</p></div></article><div id=footer>End</div>") == "Title\nText"
     for broken in (None, "", "<", "<p", "</p></p>", "<article>a<b", "<!-- x", "<script>x", "&am &amp", "<p>" * 5000):
         assert isinstance(pages.main_text(broken), str)
 
