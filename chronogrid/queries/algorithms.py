@@ -13,7 +13,7 @@ from ..lang import Cube
 from ..operators import learning as L
 from ..operators import vectors as E
 from ..plans import bindings
-from .common import ITEM_OBS, Registry, item_obs, obs, table
+from .common import Registry, item_obs, obs, table
 from .space import _means, classes, grid, vectors
 
 R = Registry()

@@ -10,7 +10,7 @@ from ..operators import joins as J
 from ..operators import surveys as V
 from ..operators import vectors as E
 from ..plans import bindings
-from .common import CLASSES, EVENT_OBS, ITEM_OBS, OBS, Registry, classes, event_obs, item_obs, obs, table
+from .common import CLASSES, ITEM_OBS, OBS, Registry, classes, event_obs, item_obs, obs, table
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
