@@ -29,7 +29,7 @@ from .common import arrow_map
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMORY = 150_000  #: chunks remembered by a worker, twice: those met since the table was last full, and those before
+MEMORY = 200_000  #: chunks remembered by a worker, twice: those met since the table was last full, and those before
 REMEMBERED = 48  #: characters of the longest chunk that is remembered
 
 
@@ -99,10 +99,10 @@ class Pieces:
         self.tree.make_automaton()
         #: by piece, the longest other one that it starts with, or -1
         self.shorter = [next((self.place[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.place), -1) for t in self.text]
-        self.compatible = lru_cache(MEMORY)(self._compatible)
+        self.compatible = lru_cache(150_000)(self._compatible)
         self.sizes = list(map(len, self.text))
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         letters = re.escape("".join(sorted(self.widest_class())))
         self.cut = re.compile(f"{MARK}*[{letters}]+|{MARK}*[^{MARK}{letters}]+|{MARK}+").findall
 
@@ -184,10 +184,10 @@ class Pieces:
                 out += self.known_run(part) if part[0] in known else [self.byte[b] for b in part.encode()]
         return out
 
-    def remember(self, part: str, ids: list[int]) -> None:
+    def remember(self, part: str, ids: list[int] | tuple[int, ...]) -> None:
         if len(self.young) >= MEMORY:
             self.old, self.young = self.young, {}
-        self.young[part] = ids
+        self.young[part] = tuple(ids)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
