@@ -481,21 +481,50 @@ OMNIBUS = "p_change double, n_changes int, n_dates int, first_change double, las
 
 def unmix(endmembers: dict[str, list[float]], sum_to_one: bool = True):
     """Fractions of endmembers in each date's bands: not negative, and of sum one (fully constrained least squares)."""
-    names = list(endmembers)
-    e = np.array([endmembers[k] for k in names]).T
+    names, solve = list(endmembers), unmixed(endmembers, sum_to_one)
 
     def kernel(years: np.ndarray, v: np.ndarray) -> list[dict]:
-        weight = 1e3 * max(1.0, float(np.abs(e).max()))
-        a = np.vstack([e, np.full(len(names), weight)]) if sum_to_one else e
-        out = []
-        for t, y in zip(years, v, strict=True):
-            f = nonnegative(a, np.append(y, weight) if sum_to_one else y)
-            out.append({"year": t, "rmse": float(np.sqrt(np.mean((y - e @ f) ** 2))), **{f"f_{k}": x for k, x in zip(names, f, strict=True)}})
-        return out
+        f, rmse = solve(v)
+        return [{"year": t, "rmse": float(e), **{f"f_{k}": float(x) for k, x in zip(names, row, strict=True)}} for t, e, row in zip(years, rmse, f, strict=True)]
 
     return kernel
 
 
+#: Endmembers up to which all their subsets are solved; with more, each row takes active sets.
+SUBSETS = 6
+
+
+def unmixed(endmembers: dict[str, list[float]], sum_to_one: bool = True):
+    """Fractions and error of many rows of bands at once.
+
+    The least error without negative fractions is that of plain least squares over some subset of the endmembers; each
+    subset is one matrix product, and every row takes the best of those that give it no negative fraction.
+    """
+    e = np.array(list(endmembers.values()), dtype=float).T
+    n = e.shape[1]
+    weight = 1e3 * max(1.0, float(np.abs(e).max()))
+    a = np.vstack([e, np.full(n, weight)]) if sum_to_one else e
+    subsets = [[k for k in range(n) if bits >> k & 1] for bits in range(1, 1 << n)] if n <= SUBSETS else []
+    inverses = [np.linalg.pinv(a[:, k]) for k in subsets]
+
+    def solve(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = np.column_stack([v, np.full(len(v), weight)]) if sum_to_one else v
+        if subsets:
+            f, least = np.zeros((len(v), n)), (y**2).sum(axis=1)
+            for k, inverse in zip(subsets, inverses, strict=True):
+                x = y @ inverse.T
+                error = ((y - x @ a[:, k].T) ** 2).sum(axis=1)
+                better = (x >= 0).all(axis=1) & (error < least)
+                least[better] = error[better]
+                f[better] = 0
+                f[np.ix_(better, k)] = x[better]
+        else:
+            f = np.array([nonnegative(a, row) for row in y]).reshape(len(y), n)
+        return f, np.sqrt(((v - f @ e.T) ** 2).mean(axis=1))
+
+    return solve
+
+
 def nonnegative(a: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least squares without negative coefficients, by active sets (Lawson and Hanson 1974)."""
     n = a.shape[1]

@@ -59,3 +59,24 @@ def per_key_bands(cube: DataFrame, bands: list[str], kernel: Callable[[np.ndarra
         return out
 
     return cube.select(key, F.col("ts").cast("timestamp").alias("ts"), *bands).groupBy(key).applyInPandas(run, f"{key} long, {schema}")
+
+
+def per_row_bands(cube: DataFrame, bands: list[str], solve: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], schema: str, key: str = "px") -> DataFrame:
+    """`solve(values)` of all rows of an Arrow batch at which all bands are valid, whatever their keys: year, rmse, fractions.
+
+    `schema` names the columns in that order; NaN and infinities are NULL.
+    """
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def run(frames):
+        for frame in frames:
+            v = frame[bands].to_numpy(dtype=float, na_value=np.nan)
+            ok = np.isfinite(v).all(axis=1)
+            fractions, rmse = solve(v[ok])
+            found = np.column_stack([decimal_years(frame["ts"][ok]), rmse, fractions])
+            out = pd.DataFrame(np.where(np.isfinite(found), found, np.nan), columns=names).astype(object)
+            out = out.where(out.notna(), None)
+            out.insert(0, key, frame[key][ok].to_numpy())
+            yield out
+
+    return cube.select(key, F.col("ts").cast("timestamp").alias("ts"), *bands).mapInPandas(run, f"{key} long, {schema}")

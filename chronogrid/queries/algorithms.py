@@ -8,7 +8,7 @@ from ..functions import indices
 from ..kernels import changes as C
 from ..kernels import images as I
 from ..kernels import trends as T
-from ..kernels.run import per_key, per_key_bands
+from ..kernels.run import per_key, per_key_bands, per_row_bands
 from ..lang import Cube
 from ..operators import learning as L
 from ..operators import vectors as E
@@ -47,8 +47,8 @@ for _name, (_kernel, _schema) in KERNELS.items():
 R.add("ccdc", lambda s, d: per_key_bands(bindings.items(s, d).rows, BANDS, C.ccdc(), C.CCDC))
 MEMBERS = {"low": [5.0, 0.02, 0.01], "high": [45.0, 0.05, 0.05], "sale": [25.0, 0.1, 0.02]}
 UNMIXED = "year double, rmse double, f_low double, f_high double, f_sale double"
-R.add("unmix", lambda s, d: per_key_bands(bindings.items(s, d).rows.where("px < 20"), BANDS, C.unmix(MEMBERS), UNMIXED))
-R.add("ndfi", lambda s, d: per_key_bands(bindings.items(s, d).rows.where("px < 20"), BANDS, C.unmix(MEMBERS, False), UNMIXED).withColumn("ndfi", F.try_divide(F.col("f_high") - F.col("f_low") - F.col("f_sale"), F.col("f_high") + F.col("f_low") + F.col("f_sale"))))
+R.add("unmix", lambda s, d: per_row_bands(bindings.items(s, d).rows, BANDS, C.unmixed(MEMBERS), UNMIXED))
+R.add("ndfi", lambda s, d: per_row_bands(bindings.items(s, d).rows, BANDS, C.unmixed(MEMBERS, False), UNMIXED).withColumn("ndfi", F.try_divide(F.col("f_high") - F.col("f_low") - F.col("f_sale"), F.col("f_high") + F.col("f_low") + F.col("f_sale"))))
 
 # -- models ------------------------------------------------------------------------------------------------------------
 

@@ -1,9 +1,11 @@
 """Queries run on all rows of their tables; what is expected is written here, without the registry's SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from chronogrid import queries as Q
+from chronogrid.kernels import changes as C
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +27,31 @@ def test_index_of_every_line_item(spark, duck, sf_dir):
     assert every
     for name in every:
         assert Q.queries()[name](spark, sf_dir).count() == len(rows), name
+
+
+def test_fractions_of_every_key(spark, duck, sf_dir):
+    dates = "SELECT l_suppkey, l_shipdate FROM lineitem GROUP BY 1, 2 HAVING bool_and(isfinite(l_quantity) AND isfinite(l_discount) AND isfinite(l_tax))"
+    n, keys = duck.execute(f"SELECT count(*), count(DISTINCT l_suppkey) FROM ({dates})").fetchone()
+    for name in ("unmix", "ndfi"):
+        rows = Q.queries()[name](spark, sf_dir).collect()
+        assert len(rows) == n and len({r["px"] for r in rows}) == keys, name
+        assert all(min(r["f_low"], r["f_high"], r["f_sale"]) >= 0 for r in rows)
+
+
+@pytest.mark.parametrize("sum_to_one", [True, False])
+@pytest.mark.parametrize("n", [1, 3, 7])
+def test_batched_fractions_equal_active_sets(n, sum_to_one):
+    rng = np.random.default_rng(n)
+    members = {f"m{k}": rng.uniform(0, 50, 4).tolist() for k in range(n)}
+    e = np.array(list(members.values())).T
+    y = rng.uniform(-10, 60, (200, 4))
+    weight = 1e3 * max(1.0, np.abs(e).max())
+    a = np.vstack([e, np.full(n, weight)]) if sum_to_one else e
+    f, rmse = C.unmixed(members, sum_to_one)(y)
+    for row, own, error in zip(y, f, rmse, strict=True):
+        target = np.append(row, weight) if sum_to_one else row
+        x = C.nonnegative(a, target)
+        assert np.linalg.norm(a @ own - target) <= np.linalg.norm(a @ x - target) + 1e-6
+        assert np.isclose(error, np.sqrt(np.mean((row - e @ own) ** 2)))
+        if n <= 4:
+            assert np.allclose(own, x, atol=1e-5)
