@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are runs of letters, digits and other characters beyond ASCII, lower-cased; shingles are five of them (all, if an item
-has fewer).  Every run of as many words as an item has is a window; a window without any shingle of the benchmark can't be
+has fewer).  Every run of as many words as an item has is a window, and so is a whole document that has fewer, but enough to
+be similar; a window without any shingle of the benchmark can't be
 similar to an item and is passed over.  The other windows get 256-bit SimHash fingerprints, weighted by shingle counts.  A
 multi-index of 32 blocks of 8 bits finds all items of that size whose fingerprint is within 63 bits: one of the blocks then
 differs by one bit at most.  Candidates are verified by the exact similarity of their weighted shingles, the sum of the
@@ -163,6 +164,12 @@ class Index:
                     if k == size and n > 0:
                         first = np.flatnonzero(touched[m : m + n] > touched[:n])
                         found += self.of_windows(part, total, first, a, size, m, group)
+        # the whole document is the window of items that have more words, as long as it can reach SIMILAR
+        longer = [(m, group) for (k, m), group in self.groups.items() if k == size and SIMILAR * m <= len(s) < m]
+        if longer:
+            total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(s), axis=0, dtype=np.int32)])
+            for _, group in longer:
+                found += self.of_windows(s, total, np.zeros(1, np.int64), 0, size, len(s), group)
         best: dict[int, dict] = {}
         for x in found:
             y = best.get(x["item_id"])

@@ -143,6 +143,22 @@ def test_decontamination(spark):
     assert {x["doc_id"] for x in kept.collect()} == {x for x, _ in rows} - {x for x, _ in true}
 
 
+def test_truncated_items_that_are_whole_documents(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(3000)}" for _ in range(59)]
+    rows = [(1, words[:-1]), (2, words[1:]), (3, words[:46]), (4, words[:30]), (5, words)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(f"v{k}" for k in range(59)))], "item_id long, text string")
+    found = {x["doc_id"]: x for x in decontam.op6_decontamination(docs, bench).collect()}
+    assert set(found) == {1, 2, 3, 5}  # 30 words can't reach 0.75
+    for k, w in rows:
+        if k in found:
+            x = found[k]
+            assert (x["item_id"], x["first_word"], x["n_words"]) == (7, 0, len(w))
+            assert x["similarity"] == pytest.approx((len(w) - 4) / 55)
+    assert {x["doc_id"] for x in decontam.matched(docs, bench).where(F.size("matches") == 0).collect()} == {4}
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     docs, bench = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "benchmark")
     whole = sorted(map(tuple, decontam.op6_decontamination(docs, bench).collect()))
