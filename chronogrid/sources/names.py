@@ -80,7 +80,8 @@ def cf_time(value: Column, units: str, calendar: str = "standard") -> Column:
     elif calendar == "360_day":
         day = F.lit(y * 360 + (m - 1) * 30 + d - 1) + F.floor(since / 86400.0)
         year, month, of = F.floor(day / 360), F.floor(F.pmod(day, F.lit(360)) / 30) + 1, F.pmod(day, F.lit(30)) + 1
-        of = F.when((month == 2) & (of > 28), 28).otherwise(of)  # the nearest date there is
+        last = F.dayofmonth(F.last_day(F.make_date(year.cast("int"), month.cast("int"), F.lit(1))))
+        of = F.least(of.cast("int"), last)  # 30 February, and 29 in most years, is the last day of February
     else:
         raise ValueError(f"no calendar {calendar!r}")
     base = F.make_date(year.cast("int"), month.cast("int"), of.cast("int")).cast("timestamp")
