@@ -55,21 +55,53 @@ def canonical(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))))
 
 
-def targets(html: Column) -> list[Column]:
-    """URLs that a page names as its canonical form or sends its visitors to: link rel=canonical, meta refresh, og:url."""
-    html = F.coalesce(html, F.lit(""))
-    return [
-        F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1),
-        F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bproperty\s*=\s*[\"']?og:url\b[^>]*>", 0), r"(?is)\bcontent\s*=\s*[\"']?([^\"'\s>]+)", 1),
-    ]
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, quoted or not; empty without one."""
+    found = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
+    return F.trim(F.concat(*[F.regexp_extract(tag, found, k) for k in (1, 2, 3)]))
+
+
+def targets(html: Column) -> Column:
+    """All URLs that a page names as its canonical form or sends its visitors to, as they are written: link rel=canonical, meta refresh, og:url."""
+    tag = r"(?is)<%s(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
+    of = lambda name: F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(tag % name), F.lit(0))
+    links = F.transform(F.filter(of("link"), lambda t: attribute(t, "rel").rlike(r"(?i)(?:\A|\s)canonical(?:\s|\z)")), lambda t: attribute(t, "href"))
+    metas = of("meta")
+    url = r"(?is)\A[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"'\s>;]+)"
+    sent = F.transform(F.filter(metas, lambda t: attribute(t, "http-equiv").rlike(r"(?i)\Arefresh\z")), lambda t: F.regexp_extract(attribute(t, "content"), url, 1))
+    shared = F.transform(F.filter(metas, lambda t: attribute(t, "property").rlike(r"(?i)\Aog:url\z")), lambda t: attribute(t, "content"))
+    return F.filter(F.concat(links, sent, shared), lambda t: t != "")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """`target` as it is meant on the page `base`, whose URL has a host: RFC 3986 without a check of the parts; null for schemes without one."""
+    scheme = F.regexp_extract(base, r"(?s)\A(.*?)://", 1)
+    site = F.regexp_extract(base, r"(?s)\A.*?://[^/?#]*", 0)
+    path = path_of(base)
+    folder = F.concat(site, F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)\A.*/", 0)))
+    page = F.regexp_extract(base, r"(?s)\A[^?#]*", 0)
+    whole = (
+        F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(site, target)).when(target.startswith("?"), F.concat(page, target)).when(target.startswith("#"), base)
+        .when(~target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(folder, target))
+    )
+    host, own = F.regexp_extract(whole, r"(?s)\A.*?://[^/?#]*", 0), path_of(whole)
+    rest = F.substring(whole, F.char_length(host) + F.char_length(own) + 1, F.char_length(whole))
+    parts = F.slice(F.split(own, "/"), 2, F.greatest(F.size(F.split(own, "/")) - 1, F.lit(0)))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    walked = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    final = F.when(own.rlike(r"/\.{1,2}\z") & (walked != ""), "/").otherwise("")
+    return F.when(own.rlike(r"/\.{1,2}(?:/|\z)"), F.concat(host, F.lit("/"), walked, final, rest)).otherwise(whole)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(u, v) of the canonical forms of each page's URL and of what it redirects or links to as its canonical form."""
-    named = [F.when(t != "", F.regexp_replace(t, "&amp;", "&")) for t in targets(F.col("html"))]
-    found = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv|og:url")).select(canonical(F.col("url")).alias("u"), F.explode(F.array(*named)).alias("t"))
-    return found.select("u", canonical(F.col("t")).alias("v")).where("u is not null and v is not null and u <> v")
+    """(u, v) of the canonical forms of each page's URL and of all that it redirects or links to as its canonical form."""
+    named = F.transform(targets(F.col("html")), lambda t: F.regexp_replace(t, "&amp;", "&"))
+    found = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv|og:url") & F.col("url").contains("://")).select("url", F.explode(named).alias("t"))
+    return found.select(canonical(F.col("url")).alias("u"), canonical(resolved(F.col("t"), F.col("url"))).alias("v")).where("u is not null and v is not null and u <> v")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:

@@ -378,6 +378,23 @@ def test_blocks_reach_aliases(spark):
     assert urls.op5_urls(rows).count() == 11 and urls.op5_urls(rows.where("page_id < 0")).count() == 0
 
 
+def test_targets_are_resolved_on_their_page(spark):
+    refresh, link = "<meta content='0; url=%s' http-equiv=refresh>", '<link href="%s" rel="canonical">'
+    given = [
+        ("http://a.org/x/1?q=2", link % "/y", "a.org/y"), ("https://a.org/x/1", refresh % "//b.net/es/2", "b.net/es/2"), ("http://a.org/x/1", refresh % "2", "a.org/x/2"),
+        ("http://a.org/x/y/1", link % "../z/./3", "a.org/x/z/3"), ("http://a.org", link % "p", "a.org/p"), ("http://a.org/x", link % "?p=1", "a.org/x?p=1"),
+        ("http://a.org/x", '<META property="og:url" content="http://c.org/1?u=a&amp;v=b">', "c.org/1?u=a&v=b"), ("http://a.org/x", link % "mailto:me@b.org", None), ("http://a.org/x", link % "#top", None),
+    ]
+    for url, html, want in given:
+        rows = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+        assert [r["v"] for r in urls.page_edges(rows).collect()] == ([want] if want else []), (url, html)
+    two = spark.createDataFrame([(1, "http://a.org/x", refresh % "/1" + refresh % "/2" + link % "/3")], "page_id long, url string, html string")
+    assert sorted(r["v"] for r in urls.page_edges(two).collect()) == ["a.org/1", "a.org/2", "a.org/3"]
+    pages_ = [(1, "http://b.net/es/1", link % "/new"), (2, "http://b.net/new", None), (3, "http://a.org/3", refresh % "//b.net/es/1")]
+    found = {r["page_id"]: r["verdict"] for r in urls.op5_urls(spark.createDataFrame(pages_, "page_id long, url string, html string")).collect()}
+    assert found == {1: "block", 2: "block", 3: "block"}
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------------------------------
 
 
