@@ -14,10 +14,11 @@ from .common import Workspace, cut
 ROUNDS = 60  #: far more than any graph needs; the number grows with the square of the logarithm of the nodes
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, into: Workspace | None = None) -> DataFrame:
     """(node, root) of each node of `edges` (columns u and v, of one orderable type); root is the least node reachable.
 
-    Nulls, loops, repeated edges and further columns of `edges` are ignored; without edges the result is empty.
+    Nulls, loops, repeated edges and further columns of `edges` are ignored; without edges the result is empty.  The result is
+    a table of `into`, or one that stays as long as the session.
     """
     with Workspace(edges.sparkSession) as work:
         e = work.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
@@ -39,4 +40,4 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
         roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        return cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+        return (into.cut if into else cut)(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
