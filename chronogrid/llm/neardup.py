@@ -3,10 +3,11 @@
 A text's set holds its distinct shingles of five words (with fewer words, the whole sequence).  Texts with equal sets are
 one node, named by their least doc_id.  128 universal hash minima make a signature; 32 bands of four minima make buckets
 (a pair at similarity 0.75 misses all of them with probability 5e-6).  In each bucket every node is paired with the
-bucket's pivot, the node that meets the most others; pairs are verified by their signatures, then by their full sets.  After
-connected components only groups of nodes that buckets connect and links don't are looked at again: their nodes outside the
-largest component are held against the others in blocks, and only links leave a block.  So no group of copies, however
-large, is expanded into its pairs or met in one task, and no link between texts that share a bucket is lost.
+bucket's pivot, the node that meets the most others; pairs are verified by their signatures, then by their full sets.  Then
+the buckets of which not all nodes are connected yet are looked at again, by the same rule whatever their size: the nodes
+outside the largest component of a bucket are held against all its others, in blocks that bound memory, and only links leave
+a block.  So no group of copies, however large, is expanded into its pairs or met in one task, and no link between texts
+that share a bucket is lost.
 
 Null texts, and such without a word, have an empty set and are linked with nothing.  Rows of one doc_id are one document,
 even if their texts differ; ids must be below 2**62.  Rows without an id are grouped by their texts and keep a null
@@ -31,8 +32,8 @@ MINIMA, ROWS = 128, 4  #: hash minima of a signature, and of them in a band
 SIMILAR = (75, 100)  #: linked if 100 * intersection >= 75 * union
 PASS_SIGNATURE = 0.5  #: estimated similarity from which full sets are compared; 6.5 standard errors below 0.75
 NO_ID = 1 << 62  #: from here on, nodes of texts whose rows have no id
-GROUP = 4_096  #: nodes that buckets connect, beyond which they are grouped by single buckets
-BLOCK_SHINGLES = 100_000  #: shingles of a block of nodes, about
+#: Shingles and nodes of the two blocks that are held against each other, about.
+X_BLOCK, Y_BLOCK = (1_000_000, 4_096), (250_000, 1_024)
 FILTER_LONGS = 1 << 16  #: 64-bit numbers in the filter of nodes; a fuller one lets more through, and nothing is lost
 
 _rng = np.random.default_rng(20240229)
@@ -96,13 +97,13 @@ def _key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sketches(batches):
-    """(doc_id, n, k1, k2, bands): size and key of the set, and its bands."""
+    """(doc_id, text_hash, n, k1, k2, bands): size and key of the set, and its bands."""
     for b in batches:
         rows = []
         for s in shingle_sets(b.column("text").to_pylist()):
             rows.append((len(s), *_key(s), bands(signature(s))) if len(s) else (0, None, None, None))
         n, k1, k2, found = zip(*rows, strict=True) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "k1", "k2", "bands"])
 
 
 def _node(ids: list, sets: list[np.ndarray]) -> list[int]:
@@ -148,107 +149,138 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.where(F.col("common") * SIMILAR[1] >= (F.col("n") - F.col("common")) * SIMILAR[0]).select("u", "v").distinct()
 
 
-def _counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each set of x with each of y."""
-    flat = np.concatenate(y)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], np.repeat(np.arange(len(y)), [len(s) for s in y])[order]
-    out = np.zeros((len(x), len(y)), np.int64)
-    for k, s in enumerate(x):
-        lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, side="right")
-        n = hi - lo
+class _Block:
+    """Nodes of one bucket: node, component, signature and shingles of each, one after the other."""
+
+    def __init__(self, rows: pa.Array):
+        self.node, self.c = (rows.field(k).to_numpy() for k in ("node", "c"))
+        sig, shingles = rows.field("sig"), rows.field("shingles")
+        self.sig = sig.flatten().to_numpy().reshape(len(rows), MINIMA)
+        self.size = np.diff(shingles.offsets.to_numpy())
+        self.flat = shingles.flatten().to_numpy()
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+
+    def shingles(self, k: int) -> np.ndarray:
+        return self.flat[self.at[k] : self.at[k + 1]]
+
+
+def _met(x: _Block, y: _Block, bucket: int) -> list[tuple[int, int]]:
+    """Links between nodes of x and y that aren't connected yet and have no lesser bucket in common (that one finds them)."""
+    order = np.argsort(y.flat, kind="stable")
+    flat, owner = y.flat[order], np.repeat(np.arange(len(y.node)), y.size)[order]
+    found = []
+    for i in range(len(x.node)):
+        same = y.sig == x.sig[i]
+        maybe = (y.c != x.c[i]) & (same.sum(axis=1) >= int(PASS_SIGNATURE * MINIMA))
+        if not maybe.any():
+            continue
+        s = x.shingles(i)
+        lo, n = np.searchsorted(flat, s), np.searchsorted(flat, s, side="right")
+        n -= lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        out[k] = np.bincount(owner[at], minlength=len(y))
-    return out
+        common = np.bincount(owner[at], minlength=len(y.node))
+        maybe &= common * SIMILAR[1] >= (len(s) + y.size - common) * SIMILAR[0]
+        if maybe.any():
+            shared = same[maybe].reshape(-1, MINIMA // ROWS, ROWS).all(axis=2)
+            least = np.where(shared, bands(x.sig[i].view(np.uint32).astype(np.uint64)), np.iinfo(np.int64).max).min(axis=1)
+            found += [(int(x.node[i]), int(v)) for v in y.node[maybe][least == bucket]]
+    return found
 
 
 def _block_links(batches):
-    """Links between the two blocks of each row, of nodes that aren't connected yet."""
+    """Links between the two blocks of each row."""
     for b in batches:
-        u, v = [], []
-        for r in b.to_pylist():
-            x, y = r["xs"], r["ys"]
-            sx, sy = ([np.array(n["shingles"], np.int64) for n in side] for side in (x, y))
-            common = _counts(sx, sy)
-            either = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :] - common
-            apart = np.array([n["c"] for n in x])[:, None] != np.array([n["c"] for n in y])[None, :]
-            for i, j in zip(*np.nonzero((common * SIMILAR[1] >= either * SIMILAR[0]) & apart), strict=True):
-                u.append(x[i]["node"])
-                v.append(y[j]["node"])
+        found = []
+        for k in range(b.num_rows):
+            x, y = (_Block(b.column(side).slice(k, 1).flatten()) for side in ("xs", "ys"))
+            found += _met(x, y, b.column("bucket")[k].as_py())
+        u, v = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _residual(members: DataFrame, pairs: DataFrame, sets: DataFrame, root: DataFrame, work: Workspace) -> DataFrame:
+def _residual(members: DataFrame, sets: DataFrame, root: DataFrame, work: Workspace) -> DataFrame:
     """Links that the pivots didn't show: between nodes that share a bucket and aren't connected yet.
 
-    Nodes are grouped by what their buckets connect (by the bucket itself where that is many).  In a group of several
-    components, the nodes outside the largest are held against all others, in blocks of about BLOCK_SHINGLES; only links
-    leave a block.
+    In a bucket of several components, the nodes outside the largest are held against all, block by block.
     """
-    united = components(pairs)
     of_root = members.select("node").distinct().join(root, "node", "left").select("node", F.coalesce("root", "node").alias("c"))
-    size = united.groupBy(F.col("root").alias("union")).agg(F.count("*").alias("of"))
-    union = united.join(size, united["root"] == size["union"]).select("node", "union", "of")
-    small = union.where(F.col("of") <= GROUP).select("node", F.struct(F.lit(0).alias("kind"), F.col("union").alias("id")).alias("g"))
-    large = members.join(union.where(F.col("of") > GROUP).select("node"), "node").select("node", F.struct(F.lit(1).alias("kind"), F.col("bucket").alias("id")).alias("g"))
-    placed = small.unionByName(large).join(of_root, "node")
-    per = placed.groupBy("g", "c").agg(F.count("*").alias("n"))
-    main = per.groupBy("g").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("several")).where("several > 1").select("g", F.col("m.c").alias("main"))
-    open_ = work.cut(placed.join(main, "g").select("node", "g.kind", "g.id", "c", (F.col("c") != F.col("main")).alias("odd")), "open")
-    rows = work.cut(open_.join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node"), "open-sets")
-
-    size, key = F.size("shingles"), ["kind", "id"]
-    of = rows.groupBy(*key).agg(F.ceil(F.sum(F.when(F.col("odd"), size)) / BLOCK_SHINGLES).alias("xn"), F.ceil(F.sum(size) / (4 * BLOCK_SHINGLES)).alias("yn"))
-    dealt = rows.join(of, key)
+    placed = members.select("bucket", "node").join(of_root, "node")
+    per = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    main = per.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("several")).where("several > 1").select("bucket", F.col("m.c").alias("main"))
+    open_ = work.cut(placed.join(main, "bucket").select("node", "bucket", "c", (F.col("c") != F.col("main")).alias("odd")), "open")
+    once = sets.groupBy("node").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
+    rows = work.cut(open_.join(once, "node"), "open-sets")
+
+    size = F.size("shingles")
+    blocks = lambda bound, which: F.ceil(F.greatest(F.sum(F.when(which, size)) / bound[0], F.count(F.when(which, 1)) / bound[1]))
+    of = rows.groupBy("bucket").agg(blocks(X_BLOCK, F.col("odd")).alias("xn"), blocks(Y_BLOCK, F.lit(True)).alias("yn"))
+    dealt = rows.join(of, "bucket")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # a block is gathered where its own number sends it, not where its group's key does, and so is each pair of blocks
-    xs = dealt.where("odd").withColumn("xb", block("xn")).repartition(*key, "xb").groupBy(*key, "xb", "yn").agg(F.collect_list(F.struct("node", "c", "shingles")).alias("xs"))
-    ys = dealt.withColumn("yb", block("yn")).repartition(*key, "yb").groupBy(*key, "yb", "xn").agg(F.collect_list(F.struct("node", "c", "shingles")).alias("ys"))
-    xs, ys = xs.select(*key, "xb", every("yn").alias("yb"), "xs"), ys.select(*key, "yb", every("xn").alias("xb"), "ys")
-    met = xs.join(ys, [*key, "xb", "yb"]).select("xs", "ys")
-    return arrow_map(met, _block_links, "u long, v long", rows=2).distinct()
+    node = F.struct("node", "c", "sig", "shingles")
+    # a block is gathered where its own number sends it, not where its bucket does, and so is each pair of blocks
+    xs = dealt.where("odd").withColumn("xb", block("xn")).repartition("bucket", "xb").groupBy("bucket", "xb", "yn").agg(F.collect_list(node).alias("xs"))
+    ys = dealt.withColumn("yb", block("yn")).repartition("bucket", "yb").groupBy("bucket", "yb", "xn").agg(F.collect_list(node).alias("ys"))
+    xs, ys = xs.select("bucket", "xb", every("yn").alias("yb"), "xs"), ys.select("bucket", "yb", every("xn").alias("xb"), "ys")
+    met = xs.join(ys, ["bucket", "xb", "yb"]).select("bucket", "xs", "ys")
+    return arrow_map(met, _block_links, "u long, v long", rows=1).distinct()
+
+
+def _grouped(docs: DataFrame, work: Workspace) -> DataFrame:
+    """(doc_id, text_hash, n, root) of every row of `docs` (doc_id, text); root is a node, null without a shingle."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    sketches = work.cut(arrow_map(own, _sketches, "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>"), "sketches")
+    no_id = F.lit(NO_ID) + F.col("k1").bitwiseAND((NO_ID >> 1) - 1)
+    nodes = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = work.cut(nodes.select("k1", "k2", F.coalesce("node", no_id).alias("node"), "bands"), "nodes")
+
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    # (what is joined by bucket is a table of its own, so that the join can split a hot bucket)
+    shared = work.cut(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "size"), "shared")
+    members = work.cut(buckets.join(shared, "bucket").distinct(), "members")
+    # the pivot of a bucket is the node that meets the most others in all its buckets, as the origin of edited copies does
+    degree = work.cut(members.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
+    rated = members.join(degree, "node")
+    pivots = work.cut(rated.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("u")), "pivots")
+    pairs = work.cut(members.join(pivots, "bucket").where("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), "pairs")
+    sets = work.cut(_node_sets(docs, members.select("node").distinct()), "sets")
+    links = work.cut(_linked(pairs, sets), "links")
+    more = _residual(members, sets, components(links, work), work)
+    root = components(work.cut(links.unionByName(more), "all-links"), work)
+
+    named = nodes.select("k1", "k2", "node").join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+    return sketches.select("doc_id", "text_hash", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", "text_hash", "n", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Workspace(docs.sparkSession) as work:
-        sketches = work.cut(arrow_map(docs, _sketches, "doc_id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
-        no_id = F.lit(NO_ID) + F.col("k1").bitwiseAND((NO_ID >> 1) - 1)
-        nodes = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-        nodes = work.cut(nodes.select("k1", "k2", F.coalesce("node", no_id).alias("node"), "bands"), "nodes")
-
-        buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-        # (what is joined by bucket is a table of its own, so that the join can split a hot bucket)
-        shared = work.cut(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "size"), "shared")
-        members = work.cut(buckets.join(shared, "bucket").distinct(), "members")
-        # the pivot of a bucket is the node that meets the most others in all its buckets, as the origin of edited copies does
-        degree = work.cut(members.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
-        rated = members.join(degree, "node")
-        pivots = work.cut(rated.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("u")), "pivots")
-        pairs = work.cut(members.join(pivots, "bucket").where("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), "pairs")
-        sets = work.cut(_node_sets(docs, members.select("node").distinct()), "sets")
-        links = work.cut(_linked(pairs, sets), "links")
-        more = _residual(members, pairs, sets, components(links), work)
-        root = components(work.cut(links.unionByName(more), "all-links"))
-
-        named = nodes.select("k1", "k2", "node").join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-        found = sketches.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
         component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("root") < NO_ID, F.col("root"))
-        found = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        found = _grouped(docs, work).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
         return cut(found, "near-duplicates")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Rows of `docs`, one of each group: those whose doc_id names its component; repeated rows of one id count once."""
-    found = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    kept = docs.join(found.where("doc_id is not null"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    """Rows of `docs`, one of each group: that whose doc_id names its component, and of a group without any id one of its texts.
+
+    Repeated rows of one id count once; rows without a shingle are no copies of each other and stay.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with Workspace(docs.sparkSession) as work:
+        found = work.cut(_grouped(own, work), "grouped")
+        kept = cut(found.where("doc_id is not null and (n = 0 or root = doc_id)").select("doc_id").distinct(), "kept")
+        unnamed = found.where(f"doc_id is null and root >= {NO_ID}").groupBy("root").agg(F.min("text_hash").alias("__hash")).select("__hash")
+        unnamed = cut(unnamed, "kept-without-id")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    out = docs.join(kept, "doc_id", "left_semi")
     if repeated.take(1):
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once.select(*kept.columns))
-    return kept.select(*docs.columns)
+        once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(repeated, "doc_id", "left_anti").unionByName(once.select(*out.columns))
+    bare = docs.where("doc_id is null")
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    one = bare.where(words).withColumn("__text_hash", F.xxhash64("text")).join(unnamed.withColumnRenamed("__hash", "__text_hash"), "__text_hash", "left_semi").dropDuplicates(["__text_hash"])
+    return out.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(bare.where(~words))
 
 
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:
