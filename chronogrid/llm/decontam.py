@@ -9,8 +9,10 @@ differs by one bit at most.  Candidates are verified by the exact similarity of
 lesser counts over the sum of the greater ones, which must reach 0.75.
 
 Null and empty documents have no match; items without a word match nothing.  Rows, repeated ones too, are judged each;
-further columns are passed on (`matches` is replaced).  The benchmark is broadcast in blocks of bounded size, one pass
-over the documents for each.
+further columns are passed on (`matches` is replaced); of several windows as similar the first counts.  The benchmark is
+broadcast in blocks of bounded size, one pass over the documents for each: beyond one block a pass writes the matches it
+finds, and its block goes, before the next begins.  Texts are hashed and windows fingerprinted a stretch at a time, so
+that memory grows by some 20 bytes a word of the longest text.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map
+from .common import arrow_map, cut
 
 WORDS, BITS, BLOCKS, RADIUS, SIMILAR = 5, 256, 32, 63, 0.75
 BROADCAST_CHARS = 4_000_000  #: characters of benchmark items in one broadcast block, about
 FILTER_BITS = 20
+STRETCH, WINDOWS = 1 << 18, 2_048  #: bytes hashed, and windows fingerprinted, at once
 
 _rng = np.random.default_rng(61)
 _byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,18 +67,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _hashed_words(buf: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of `inside`, which begin and end within the buffer."""
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, stop = edge[::2], edge[1::2]
+    power, unpower = powers(len(buf) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte[buf] * power[:-1], dtype=np.uint64)])
+    return mixed((total[stop] - total[start]) * unpower[start])
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts; the first word of each text, and the number of words at the end."""
     data = [(t or "").lower().encode() for t in texts]
     ends = np.cumsum([len(d) + 1 for d in data])
     buf = np.frombuffer(b"\0".join(data) + b"\0", np.uint8)
-    inside = np.concatenate([[False], _in_word[buf]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, stop = edge[::2], edge[1::2]
-    power, unpower = powers(len(buf))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte[buf] * power, dtype=np.uint64)])
-    h = mixed((total[stop] - total[start]) * unpower[start])
-    return h, np.concatenate([[0], np.searchsorted(start, ends)])
+    inside = _in_word[buf]
+    begins = inside & ~np.concatenate([[False], inside[:-1]])
+    h, a = [np.zeros(0, np.uint64)], 0
+    while a < len(buf):  # a stretch ends at a byte that is in no word
+        e = min(len(buf), a + STRETCH)
+        e += int(np.argmin(inside[e - 1 :])) if e < len(buf) else 0
+        h.append(_hashed_words(buf[a:e], inside[a:e]))
+        a = e
+    return np.concatenate(h), np.concatenate([[0], np.cumsum(np.add.reduceat(begins, np.concatenate([[0], ends[:-1]]), dtype=np.int64))]) if len(ends) else np.zeros(1, np.int64)
 
 
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -89,7 +103,14 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
 def signs(s: np.ndarray) -> np.ndarray:
     """+1 or -1 of each of the 256 bits of each shingle."""
     wide = mixed(s[:, None] * _spread)
-    return np.unpackbits(wide.view(np.uint8).reshape(len(s), BITS // 8), axis=1).astype(np.int32) * 2 - 1
+    return np.unpackbits(wide.view(np.uint8).reshape(len(s), BITS // 8), axis=1).view(np.int8) * np.int8(2) - np.int8(1)
+
+
+def sums(s: np.ndarray) -> np.ndarray:
+    """Running sums of the signs, from nothing on."""
+    total = np.zeros((len(s) + 1, BITS), np.int32)
+    np.cumsum(signs(s), axis=0, dtype=np.int32, out=total[1:])
+    return total
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -114,7 +135,7 @@ class Index:
                 by_size[int(size), int(n - size + 1)].append((i, shingles(h[at[k] : at[k + 1]], size)))
         self.groups, known = {}, defaultdict(list)
         for key, found in by_size.items():
-            prints = np.packbits(np.array([signs(s).sum(axis=0) > 0 for _, s in found]), axis=1)
+            prints = np.packbits(np.array([signs(s).sum(axis=0, dtype=np.int64) > 0 for _, s in found]), axis=1)
             table = np.zeros((BLOCKS, 256, -(-len(found) // 8)), np.uint8)
             values = np.arange(256)
             near = np.array([[v == w or bin(v ^ w).count("1") == 1 for w in values] for v in values])
@@ -152,13 +173,14 @@ class Index:
         cut = np.flatnonzero(np.diff(hits) > 2 * reach) + 1
         for run in np.split(hits, cut):
             lo, hi = max(0, run[0] - reach + 1), min(len(s), run[-1] + reach)
-            for a in range(lo, hi, 16_384):  # windows that start here
-                b = min(hi, a + 16_384)
+            for a in range(lo, hi, WINDOWS):  # windows that start here
+                b = min(hi, a + WINDOWS)
                 part = s[a : min(hi, b + reach)]
-                total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(part), axis=0, dtype=np.int32)])
                 touched = np.zeros(len(part) + 1, np.int64)
                 touched[run[(run >= a) & (run < a + len(part))] - a + 1] = 1
-                touched = np.cumsum(touched)
+                if not touched.any():
+                    continue
+                total, touched = sums(part), np.cumsum(touched)
                 for (k, m), group in self.groups.items():
                     n = min(b - a, len(part) - m + 1)
                     if k == size and n > 0:
@@ -167,7 +189,7 @@ class Index:
         # the whole document is the window of items that have more words, as long as it can reach SIMILAR
         longer = [(m, group) for (k, m), group in self.groups.items() if k == size and SIMILAR * m <= len(s) < m]
         if longer:
-            total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(s), axis=0, dtype=np.int32)])
+            total = sums(s)
             for _, group in longer:
                 found += self.of_windows(s, total, np.zeros(1, np.int64), 0, size, len(s), group)
         best: dict[int, dict] = {}
@@ -200,33 +222,32 @@ def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = -(-int(chars) // BROADCAST_CHARS)
-    out = docs.select(*[c for c in docs.columns if c != "matches"]).withColumn("matches", F.array().cast(MATCH))
+    plain = docs.select(*[c for c in docs.columns if c != "matches"])
+    if blocks <= 1:
+        return _one_block(plain, items, lambda m: m)
+    found = None
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        out = _one_block(out, sorted((r["item_id"], r["text"]) for r in own.collect()))
-    return out
-
-
-def _one_block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(Index(items))
+        own = plain.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+        part = _one_block(own, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), lambda m: m or None)
+        part = cut(part.where("matches is not null").select("doc_id", "text_hash", "matches").distinct(), "matches")
+        found = part if found is None else found.unionByName(part)
+    mine = ("__match_id", "__match_hash", "__matches")
+    found = found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches")).toDF(*mine)
+    out = plain.join(found, F.col("doc_id").eqNullSafe(F.col(mine[0])) & (F.xxhash64("text") == F.col(mine[1])), "left")
+    return out.select(*plain.columns, F.coalesce(mine[2], F.array().cast(MATCH)).alias("matches"))
+
+
+def _one_block(docs: DataFrame, items: DataFrame, answer) -> DataFrame:
+    """`docs` with matches among `items`, of BROADCAST_CHARS about; `answer` says what stands for a list of them."""
+    index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in items.collect())))
     columns = docs.columns
 
     def run(batches):
         for b in batches:
-            texts, found = b.column("text").to_pylist(), b.column("matches").to_pylist()
-            a = 0
-            while a < len(texts):  # about a MB at a time
-                e, size = a, 0
-                while e < len(texts) and (e == a or size + len(texts[e] or "") < 1_000_000):
-                    size += len(texts[e] or "")
-                    e += 1
-                for k, m in enumerate(index.value.matches(texts[a:e]), a):
-                    if m:
-                        found[k] = found[k] + m
-                a = e
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns[:-1]), pa.array(found, _ARROW_MATCH)], columns)
-
-    return arrow_map(docs, run, docs.schema)
+            found = [answer(m) for m in index.value.matches(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(found, _ARROW_MATCH)], [*columns, "matches"])
+
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField("matches", MATCH)]))
 
 
 def op6_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
