@@ -1,11 +1,15 @@
 """Main text of web pages by two passes of block rules.
 
-First every block is judged by itself: blocks under boilerplate elements, and such made of links, are out; blocks of an
-article, and long ones with many stop words, are in; the others are ambiguous.  Then an ambiguous block takes the label of
-the nearer of its decided neighbours (the one before it on ties), a heading that of the next one.
-
-Null and empty pages have an empty text.  Pages may be cut off anywhere and their tags unbalanced.  Pages of any length are
-read whole.  Repeated rows are read each; further columns are passed on (`text` and `n_chars` are replaced).
+First every block is judged by itself.  Blocks under boilerplate elements, under elements named as such or hidden, and blocks
+made of links are out; long blocks with many stop words are in; the others, short ones and such with few stop words, are
+ambiguous.  Then an ambiguous block takes the label of the nearer of its decided neighbours (the one before it on ties), a
+heading that of the next one.  Tags are one feature among these: blocks of an article have neighbours in articles only, and
+stay where none is decided; elsewhere boilerplate counts as a neighbour, and without any the long blocks stay.  In an
+article's own header the headings are kept, for they are its title; the rest of it goes, as page headers do.
+
+Null and empty pages have an empty text.  Pages may be cut off anywhere and their tags unbalanced: a link ends at the next
+one or, if no end tag comes before that, with its block.  Pages of any length are read whole.  Repeated rows are read each;
+further columns are passed on (`text` and `n_chars` are replaced).
 """
 
 from __future__ import annotations
@@ -31,15 +35,20 @@ BLOCK = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never have an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark furniture.
+#: Elements that hold text rather than other blocks.
+TEXT = frozenset("p li dd dt blockquote pre td th h1 h2 h3 h4 h5 h6 span em strong b i u a code figcaption".split())
+#: Parts of names in class, id or role that mark furniture, as the first or last part of a name.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|"
-    r"nav|navbar|navigation|menu\w*|breadcrumb\w*|pagination|pager|sidebar\w*|side-?bar|aside|widget\w*|related|recommend\w*|share|sharing|social|"
-    r"comment\w*|disqus|respond|replies|toolbar|copyright|legal|disclaimer|complementary|contentinfo)(?=$|[\s_-])",
+    r"ads?|advert\w*|adsense|sponsor(?:ed|s)?|promo\w*|banners?|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|"
+    r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|sidebar\w*|related|comments?|commentlist|disqus|respond|replies|contentinfo|complementary",
     re.I,
 )
+#: Such that mark furniture as the first part of a name, of elements that hold blocks: they are plain words too.
+WEAK_MARKS = re.compile(r"alert|side|aside|widgets?|recommend\w*|share|sharing|social|toolbar|copyright|legal|disclaimer", re.I)
 #: Such that mark furniture outside an article only: inside, they belong to it.
-SITE_MARKS = re.compile(r"(?:^|[\s_-])(?:footer|header|masthead|topbar)(?=$|[\s_-])", re.I)
+SITE_MARKS = re.compile(r"footer|header|masthead|topbar", re.I)
+#: Such that mark an article element as a reader's comment.
+READER_MARKS = re.compile(r"comments?|commentlist|respond|repl(?:y|ies)", re.I)
 #: Frequent function words of the languages that are told by density.  Fixed values, in natural order.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has have he her his i in is it not of on or she that the their they this to was we were will with you "
@@ -49,33 +58,72 @@ STOP_WORDS = frozenset(
 )
 LINK_DENSITY, STOP_DENSITY, LONG = 0.34, 0.15, 60
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Comments, declarations and tags.  A quote begins a value behind an equals sign only.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)|'([^']*+)|([^\s>]*+)))?")
+LINK = re.compile(r"<(/?)a(?=[\s/>]|\Z)", re.I)
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
-SPACE = re.compile(r"\s+")
+SPACE, PART = re.compile(r"\s+"), re.compile(r"[-_]+")
 OPEN, OUT, IN = 0, 1, 2
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """By lower-case name, the first of each."""
+    found: dict[str, str] = {}
+    for k, a, b, c in ATTRIBUTE.findall(raw):
+        found.setdefault(k.lower(), a or b or c)
+    return found
+
+
+def boilerplate(name: str, said: dict[str, str], article: bool) -> bool:
+    """Whether an element's name and attributes say that it holds no main text; `article`: it stands in one."""
+    if name in FURNITURE or name in SKIPPED or "hidden" in said or said.get("aria-hidden", "").lower() == "true" or INVISIBLE.search(said.get("style", "")):
+        return True
+    if name in ("html", "body", "main"):
+        return False
+    for key in ("class", "id", "role"):
+        for token in said.get(key, "").split():
+            parts = [p for p in PART.split(token) if p]
+            if not parts:
+                continue
+            if name == "article":
+                if READER_MARKS.fullmatch(parts[0]) or READER_MARKS.fullmatch(parts[-1]):
+                    return True
+            elif MARKS.fullmatch(parts[0]) or MARKS.fullmatch(parts[-1]):
+                return True
+            elif name not in TEXT and (WEAK_MARKS.fullmatch(parts[0]) or not article and (SITE_MARKS.fullmatch(parts[0]) or SITE_MARKS.fullmatch(parts[-1]))):
+                return True
+    return False
+
+
 def blocks(page: str):
     """(text, characters in links, in furniture, in an article, a heading) of each block that has text."""
     found, parts, linked = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # name, in furniture, in an article
-    links = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, in furniture, in an article, in a header
+    link = False  # within a link
+    unended = False  # no end tag comes before the next link
 
     def close():
-        nonlocal linked
+        nonlocal linked, link
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            name, out, article = stack[-1] if stack else ("", False, False)
-            found.append((text, linked, out, article, name in HEADINGS))
+            name, out, article, header = stack[-1] if stack else ("", False, False, False)
+            heading = any(e[0] in HEADINGS for e in stack[-3:])
+            found.append((text, linked, out or header and not (article and heading), article, heading))
         parts.clear()
         linked = 0
+        link = link and not unended
 
     def text(raw: str):
         nonlocal linked
         if raw:
             parts.append(raw)
-            if links:
+            if link:
                 linked += len(raw.strip())
 
     at = 0
@@ -93,7 +141,7 @@ def blocks(page: str):
             continue
         if m[1]:
             if name == "a":
-                links = max(0, links - 1)
+                link = False
             if name in BLOCK:
                 close()
             for k in range(len(stack) - 1, -1, -1):
@@ -110,55 +158,59 @@ def blocks(page: str):
             close()
         if name in VOID or m[3].endswith("/"):
             continue
+        said = attributes(m[3]) if m[3] else {}
         if name == "a":
-            links += 1
+            after = LINK.search(page, at)
+            link, unended = "href" in said, not after or not after[1]
         if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
             stack.pop()
-        if name in BLOCK or name in SKIPPED or m[3]:
-            _, out, article = stack[-1] if stack else ("", False, False)
-            said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
-            marked = any(k in said and (MARKS.search(said[k]) or not article and SITE_MARKS.search(said[k])) for k in ("class", "id", "role"))
-            out = out or name in FURNITURE or name in SKIPPED or (name == "header" and not article) or (marked and name not in ("html", "body", "article", "main"))
+        if name in BLOCK or name in SKIPPED or said and name != "a":
+            _, out, article, header = stack[-1] if stack else ("", False, False, False)
+            out = out or boilerplate(name, said, article)
+            header = header or name == "header"
             article = article or name in ("article", "main") or said.get("role") == "main"
-            stack.append((name, out, article))
+            stack.append((name, out, article, header))
     close()
     return found
 
 
-def first_label(text: str, linked: int, furniture: bool, article: bool) -> int:
+def first_label(text: str, linked: int, furniture: bool) -> int:
     if furniture or linked > LINK_DENSITY * len(text):
         return OUT
-    if article:
-        return IN
     words = text.lower().split()
     dense = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) >= STOP_DENSITY * len(words)
-    if len(text) >= LONG:
-        return IN if dense else OPEN
-    return OPEN
+    return IN if dense and len(text) >= LONG else OPEN
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    found = blocks(page)
-    label = [first_label(*b[:4]) for b in found]
-    before, after, n = [None] * len(found), [None] * len(found), len(found)
+def nearest(label: list[int], counts: list[bool]) -> list[tuple[int | None, int | None]]:
+    """Of each block, the decided ones before and after it among those that count."""
+    before, after, n = [None] * len(label), [None] * len(label), len(label)
     for into, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last = None
         for k in order:
-            if label[k] != OPEN:
-                last = k
             into[k] = last
+            if label[k] != OPEN and counts[k]:
+                last = k
+    return list(zip(before, after, strict=True))
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    found = blocks(page)
+    label = [first_label(*b[:3]) for b in found]
+    inside = nearest(label, [article and not furniture for _, _, furniture, article, _ in found])
+    anywhere = nearest(label, [True] * len(found))
     kept = []
-    for k, b in enumerate(found):
+    for k, (text, _, _, article, heading) in enumerate(found):
         own = label[k]
         if own == OPEN:
-            sides = [s for s in (before[k], after[k]) if s is not None]
-            if b[4] and after[k] is not None:  # a heading goes with what follows it
-                sides = [after[k]]
-            own = label[min(sides, key=lambda s: (abs(s - k), s))] if sides else IN if len(b[0]) >= LONG else OUT
+            sides = [s for s in (inside if article else anywhere)[k] if s is not None]
+            if heading and sides and sides[-1] > k:  # a heading goes with what follows it
+                sides = sides[-1:]
+            own = label[min(sides, key=lambda s: (abs(s - k), s))] if sides else IN if article or len(text) >= LONG else OUT
         if own == IN:
-            kept.append(b[0])
+            kept.append(text)
     return "\n".join(kept)
 
 
