@@ -1,16 +1,23 @@
 """Personal data, and terms that reveal it: information-theoretic sanitisation in DataFrame operations only.
 
-Protected entities are the distinct values of four base kinds (email, ip, card, phone), found by their patterns.  Terms are
-the words within `CONTEXT` characters of such a value, with their punctuation trimmed and lower-cased.  Over the corpus, the
-disclosure of entity e by term t is their pointwise mutual information, log2(p(t | e) / p(t)), divided by the information
-content of e, -log2 p(e): 1 if the term stands with no other text than e's.  p(t) counts all documents that have t; p(t | e)
-and p(e) count the distinct contexts of e, so that copies of a text count once.  A term that at least `SUPPORT` distinct
-contexts of e share is generalised to its class from a disclosure of `GENERALISE` on, and removed from `REMOVE` on, in
-those contexts.  Base values are replaced by their kinds.
-
-Null and empty texts have no span.  Repeated rows and ids are judged each by their texts; an empty table has an empty
-result.  Further columns are passed on.  Patterns are possessive or start at the end of the last match or of a run, so
-they take linear time over texts of any length; spans are (start, end) in code points, end exclusive.
+Protected entities are the distinct values of four base kinds (email, ip, card, phone), found by their patterns.  Whole texts
+are covered by passages of about `PASSAGE` characters, cut at white space; terms are the passages' words, lower-cased, without
+the punctuation around them and apart from base values.  Over the corpus, the disclosure of entity e by term t is their
+pointwise mutual information, log2(p(t | e) / p(t)), divided by the information content of e, -log2 p(e): 1 if the term
+stands in no other passage than e's.  p(t) counts all passages; p(t | e) and p(e) count the contexts of e, which are the
+documents that have it, with the words of those passages that it stands in.  Documents with the same least hash of five
+words on end are one context, so that copies aren't taken for evidence, and no document is evidence by itself.  A term
+that at least `SUPPORT` contexts of e share is generalised to its class from a disclosure of `GENERALISE` on, and removed
+from `REMOVE` on, wherever it occurs: near the value, far from it, and in documents without it.  Base values are replaced
+by their kinds.
+
+Null and empty texts have no span.  Repeated rows and ids are judged each by their texts, and a text that is repeated is one
+context; of terms that reveal several entities the highest disclosure counts; an empty table has an empty result.  Further
+columns are passed on.  Patterns are possessive or start at the end of the last match or of a run, so they take linear time
+over texts of any length; spans are (start, end) in code points, end exclusive.  Entities and terms are told by 64-bit hashes.
+
+Texts are read three times (base values, frequencies, marks) and never shuffled, but for the second step's texts with base
+values, which are written once.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sized
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns of the kinds.  A match of `email` starts where a run of its characters or the last match ends; `card` takes only
@@ -32,41 +39,49 @@ PATTERNS = {
 #: What a text must contain for a kind to be sought.
 HINTS = {"email": "@", "phone": "+"}
 IP = r"\A0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}\z"
-TERM = r"[\p{L}\p{N}](?:[^\s]*[\p{L}\p{N}])?"
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 60, 2, 0.6, 0.85
+#: A word: what stands between white space and brackets, quotes or colons, from its first letter or digit to its last.
+TERM = r"[\p{L}\p{N}](?:[^\s<>()\[\]{}:;,|\"=]*[\p{L}\p{N}])?"
+PASSAGE, SUPPORT, GENERALISE, REMOVE = 8_192, 2, 0.6, 0.85
+WORDS = 5  #: words of which the least hash tells a context
+EVERY = 0  #: stands for any term at all, where passages are counted
 FILTER_LONGS = 4096  #: 64-bit numbers in the filter of candidate terms; a fuller one lets more through, and nothing is lost
-STEP = 256  #: matches that are placed together
+ROWS = 2_000  #: documents in one part, at least
+STEP = 32  #: matches that are placed together
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Start, end and value of all matches, left to right, of a column that isn't null."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast(SPAN)
+def bound(value: Column, fn) -> Column:
+    """fn(value), the value being evaluated once however often `fn` and its lambdas name it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
 
-    def place(values: Column) -> Column:
-        between = F.split(text, pattern, -1)
-        steps = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int"))
+def located(text: Column, pattern: str, keep=None) -> Column:
+    """Start, end and value of all matches, left to right, of a column that isn't null; only of those whose value `keep` accepts."""
+    length = F.char_length
+    add = lambda acc, x: acc + x
 
-        def one_step(k: Column, at: Column) -> Column:
-            begin = F.struct(at.alias("at"), none.alias("out"))
+    def place(matches: Column, gaps: Column) -> Column:
+        """The place of match i is the sum of all lengths before it: that of whole steps, from a table, and of the rest."""
+        lengths = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, v: length(g) + length(v))
+        wanted = F.transform(matches, lambda v, i: F.struct(i.alias("i"), v.alias("value")))
+        wanted = F.filter(wanted, lambda x: keep(x["value"])) if keep else wanted
 
-            def one(acc: Column, v: Column) -> Column:
-                start = acc["at"] + F.char_length(v["gap"])
-                end = start + F.char_length(v["value"])
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), v["value"].alias("value")))).alias("out"))
+        def with_lengths(n: Column) -> Column:
+            steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / STEP).cast("int")), lambda k: F.aggregate(F.slice(n, k * STEP + 1, STEP), F.lit(0), add))
+            starts = F.aggregate(steps, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-            part = F.zip_with(F.slice(between, k * STEP + 1, STEP), F.slice(values, k * STEP + 1, STEP), lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-            return F.aggregate(F.filter(part, lambda x: x["value"].isNotNull()), begin, one)
+            def span(x: Column, table: Column) -> Column:
+                step, rest = F.floor(x["i"] / STEP).cast("int"), x["i"] % STEP
+                start = F.get(table, step) + F.aggregate(F.slice(n, step * STEP + 1, rest), F.lit(0), add) + length(F.get(gaps, x["i"]))
+                return bound(start, lambda at: F.struct(at.alias("start"), (at + length(x["value"])).alias("end"), x["value"].alias("value")))
 
-        def join(acc: Column, k: Column) -> Column:
-            # one_step is evaluated once, for its result is bound to an array of one element
-            return F.element_at(F.transform(F.array(one_step(k, acc["at"])), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), 1)
+            return bound(starts, lambda table: F.transform(wanted, lambda x: span(x, table)))
 
-        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), join, lambda acc: F.flatten(acc["out"]))
+        return bound(lengths, with_lengths)
 
-    return F.element_at(F.transform(F.array(found), lambda values: F.when(F.size(values) > 0, place(values)).otherwise(none)), 1)
+    none = F.array().cast(SPAN)
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, bound(F.split(text, pattern, -1), lambda g: place(m, g))).otherwise(none))
 
 
 def digits(value: Column) -> Column:
@@ -96,8 +111,16 @@ def entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(value) if kind in ("email", "ip") else digits(value))
 
 
+def hashed(c: Column) -> Column:
+    return F.xxhash64(c)
+
+
+def term_hash(word: Column) -> Column:
+    return hashed(F.lower(word))
+
+
 def with_base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, and spans: kind, start, end, entity of all base values by kind, then start."""
+    """doc_id, hash of the text, spans (kind, start, end, entity) of all base values by kind, then start; and the text of those that have one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", text.alias("text"), F.xxhash64(F.lit(1), text).alias("text_hash"))
     found = own.select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
@@ -105,70 +128,112 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
     def named(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), entity(kind, x["value"]).alias("entity")))
 
-    return found.select("doc_id", "text", "text_hash", F.concat(*map(named, KINDS)).alias("spans"))
-
-
-def contexts(found: DataFrame) -> DataFrame:
-    """A row for each base span of `found` (with_base_spans): doc_id, text_hash, entity, words (start, end, term) and their hash."""
-    per = found.where(F.size("spans") > 0).select("doc_id", "text_hash", "text", "spans", F.explode("spans").alias("s"))
-    begin = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
-    before = F.substring("text", begin + 1, F.col("s.start") - begin)
-    after = F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT))
+    found = found.select("doc_id", "text", "text_hash", F.concat(*map(named, KINDS)).alias("spans"))
+    return found.select("doc_id", "text_hash", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("held"))
 
-    def moved(words: Column, by: Column) -> Column:
-        return F.transform(words, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), F.lower(x["value"]).alias("term")))
 
-    # words that the context's border may cut are left out, and such as base values share characters with
-    cut_before = F.filter(located(F.col("before"), TERM), lambda x: (x["start"] > 0) | (F.col("begin") == 0))
-    cut_after = F.filter(located(F.col("after"), TERM), lambda x: (x["end"] < CONTEXT))
-    per = per.select("doc_id", "text_hash", "spans", "s", begin.alias("begin"), before.alias("before"), after.alias("after"))
-    words = F.concat(moved(cut_before, F.col("begin")), moved(cut_after, F.col("s.end")))
-    per = per.select("doc_id", "text_hash", "spans", F.col("s.entity").alias("entity"), words.alias("words"))
-    free = F.filter("words", lambda w: ~F.exists("spans", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
-    per = per.select("doc_id", "text_hash", "entity", free.alias("words"))
-    return per.withColumn("context", F.xxhash64(F.transform("words", lambda w: w["term"])))
+def passages(text: Column) -> Column:
+    """The text in parts of PASSAGE code points and the rest of a word; together they are the whole text."""
+    return F.when(F.char_length(text) <= PASSAGE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PASSAGE}}}\S*+"), F.lit(0)))
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df) of `terms` (term): how many rows of `docs` have them.
+class Filter:
+    """Tells most numbers that aren't in a column of others: a table of FILTER_LONGS numbers, or-ed together in the cluster.
 
-    A filter of fixed size, or-ed together from the terms' hashes, keeps most other words out of the shuffle; the join that
-    follows is exact, however full the filter is.
+    However full the table is, the join that follows is exact.
     """
-    bit = F.pmod(F.xxhash64("term"), F.lit(64 * FILTER_LONGS))
-    words = terms.select(F.floor(bit / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(xxhash64(term), 64) as int))").alias("bits"))
-    filled = {r["at"]: r["bits"] for r in words.groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()}  # FILTER_LONGS rows at most
-    table = F.lit([filled.get(k, 0) for k in range(FILTER_LONGS)]).cast("array<bigint>")
-    found = F.regexp_extract_all(F.lower(F.col("text")), F.lit(TERM), F.lit(0))
-    every = docs.where("text is not null").select(F.explode(F.array_distinct(found)).alias("term"))
-    maybe = F.getbit(F.get(table, F.floor(bit / 64).cast("int")), F.pmod(F.xxhash64("term"), F.lit(64)).cast("int")) == 1
-    return every.where(maybe).groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
-
-
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reveal an entity to GENERALISE or more; `found` as of contexts."""
-    n = docs.count()
-    per_entity = found.groupBy("entity").agg(F.countDistinct("context").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    pairs = found.select("entity", "context", F.explode("words.term").alias("term")).groupBy("entity", "term").agg(F.countDistinct("context").alias("both"))
-    pairs = cut(pairs.where(F.col("both") >= SUPPORT).join(per_entity, "entity"), "pairs")
-    df = document_frequency(docs, pairs.select("term").distinct())
-    information = -F.log2(F.col("n_e") / F.lit(float(max(n, 1))))
-    mutual = F.log2(F.col("both") / F.col("n_e") * F.lit(float(n)) / F.greatest("df", "both"))
-    rated = pairs.join(df, "term").withColumn("disclosure", F.when(information > 0, mutual / information))
-    return rated.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+
+    def __init__(self, values: DataFrame, name: str):
+        slot = F.pmod(F.col(name), F.lit(64 * FILTER_LONGS))
+        bits = values.select(F.floor(slot / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod({name}, 64) as int))").alias("bits"))
+        filled = {r["at"]: r["bits"] for r in bits.groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()}  # FILTER_LONGS rows at most
+        self.table = F.split(F.lit(",".join(str(filled.get(k, 0)) for k in range(FILTER_LONGS))), ",").cast("array<bigint>")  # folded into one literal
+
+    def may_have(self, value: Column) -> Column:
+        slot = F.pmod(value, F.lit(64 * FILTER_LONGS))
+        return F.getbit(F.get(self.table, F.floor(slot / 64).cast("int")), F.pmod(value, F.lit(64)).cast("int")) == 1
+
+
+def shared_entities(base: DataFrame) -> DataFrame:
+    """(e): hashes of the entities that different texts have; others have no second context."""
+    found = base.where("held is not null").select("text_hash", F.explode(F.array_distinct(F.transform("spans", lambda s: hashed(s["entity"])))).alias("e"))
+    return found.groupBy("e").agg(F.min("text_hash").alias("one"), F.max("text_hash").alias("other")).where("one <> other").select("e")
+
+
+def co_occurrence(base: DataFrame, shared: DataFrame) -> DataFrame:
+    """(e, t, both) of shared entities and terms: the contexts of e that have t, SUPPORT at least; at t = EVERY all of them."""
+    known = Filter(shared, "e")
+    slim = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), hashed(s["entity"]).alias("e")))
+    found = base.where("held is not null").select("held", F.filter(slim, lambda s: known.may_have(s["e"])).alias("own"), "spans").where(F.size("own") > 0)
+    told = lambda ws: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - WORDS, F.lit(0)) + 1), lambda k: hashed(F.slice(ws, k, WORDS))))
+    context = bound(F.split(F.lower("held"), r"\s+"), told).alias("context")
+    # each passage with its place: the one before it ends there
+    parts = found.select("own", "spans", context, passages(F.col("held")).alias("parts"))
+    ends = F.aggregate("parts", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x))))
+    parts = parts.select("own", "spans", "context", F.explode(F.arrays_zip(F.col("parts").alias("text"), F.slice(ends, 1, F.size("parts")).alias("start"))).alias("p"))
+    parts = parts.select("own", "spans", "context", F.col("p.start").alias("start"), (F.col("p.start") + F.char_length("p.text")).alias("end"), F.col("p.text").alias("text"))
+    own = F.array_distinct(F.transform(F.filter("own", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end"))), lambda s: s["e"]))
+
+    def terms(near: Column) -> Column:
+        """Hashes of the words that no base value has a character of."""
+        free = F.filter(located(F.col("text"), TERM), lambda w: ~F.exists(near, lambda s: (s["start"] < w["end"] + F.col("start")) & (s["end"] > w["start"] + F.col("start"))))
+        return F.array_distinct(F.concat(F.array(F.lit(EVERY).cast("long")), F.transform(free, lambda w: term_hash(w["value"]))))
+
+    near = F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    words = parts.withColumn("es", own).where(F.size("es") > 0).select("es", "context", bound(near, terms).alias("ts"))
+    per = words.select(F.explode("es").alias("e"), "context", "ts").join(shared, "e", "left_semi")
+    pairs = per.select("e", "context", F.explode("ts").alias("t"))
+    return pairs.groupBy("e", "t").agg(F.countDistinct("context").alias("both")).where(F.col("both") >= SUPPORT)
+
+
+def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(t, df): how many passages of `docs` have each of `terms` (t); at t = EVERY, how many passages there are."""
+    known = Filter(terms, "t")
+    every = docs.where("text is not null").select(F.explode(passages(F.col("text"))).alias("p"))
+    found = F.filter(F.transform(F.regexp_extract_all("p", F.lit(TERM), F.lit(0)), term_hash), known.may_have)
+    every = every.select(F.explode(F.array_distinct(F.concat(F.array(F.lit(EVERY).cast("long")), found))).alias("t"))
+    return every.groupBy("t").agg(F.count("*").alias("df"))
+
+
+def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """(t, disclosure) of the terms that reveal an entity to GENERALISE or more, as a table of its own."""
+    # what is read more than once is kept by the executors, and computed anew where one is lost
+    shared = shared_entities(base).persist()
+    pairs = co_occurrence(base, shared).persist()
+    terms = pairs.where(F.col("t") != EVERY)
+    df = frequencies(docs, terms.select("t").distinct()).persist()
+    n = F.lit(float((df.where(F.col("t") == EVERY).first() or [0, 0])[1]))
+    of = pairs.where(F.col("t") == EVERY).select("e", F.col("both").alias("n_e"))
+    rated = terms.join(of, "e").join(df, "t", "left")
+    information = -F.log2(F.col("n_e") / n)
+    mutual = F.log2(F.col("both") / F.col("n_e") * n / F.greatest("df", "both"))
+    rated = rated.select("t", F.when(information > 0, mutual / information).alias("disclosure"))
+    shown = rated.where(F.col("disclosure") >= GENERALISE).groupBy("t").agg(F.max("disclosure").alias("disclosure"))
+    shown = cut(sized(shown, pairs.count(), 100_000), "disclosing-terms")
+    for kept in (df, pairs, shared):
+        kept.unpersist()
+    return shown
+
+
+def marks(docs: DataFrame, shown: DataFrame) -> DataFrame:
+    """(t_id, t_hash, terms): where the texts have the terms `shown`, as (start, end, disclosure)."""
+    known = Filter(shown, "t")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    maybe = docs.select("doc_id", text.alias("text")).where(F.exists(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: known.may_have(term_hash(w))))
+    words = maybe.select("doc_id", F.xxhash64(F.lit(1), F.col("text")).alias("text_hash"), F.explode(located(F.col("text"), TERM, lambda w: known.may_have(term_hash(w)))).alias("w"))
+    hits = words.select("doc_id", "text_hash", "w.start", "w.end", term_hash(F.col("w.value")).alias("t")).join(shown, "t")
+    hits = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
+    return hits.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), "terms")
 
 
 def detected(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, spans (kind, start, end, entity) and terms (start, end, disclosure) of all rows, without their texts."""
-    found = with_base_spans(docs)
-    near = cut(contexts(found), "contexts")
-    shown = disclosing(docs, near)
-    words = near.select("doc_id", "text_hash", "entity", F.explode("words").alias("w")).select("doc_id", "text_hash", "entity", "w.start", "w.end", "w.term")
-    hits = words.join(shown, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), "terms")
-    out = found.join(terms, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")), "left")
-    return out.select(*found.columns, F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,disclosure:double>>")).alias("terms"))
+    rows = docs.count()
+    base = cut(sized(with_base_spans(docs), rows, ROWS), "base-spans")
+    terms = marks(docs, disclosing(docs, base))
+    out = base.drop("held").join(terms, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")), "left")
+    free = F.filter("terms", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    return sized(out.select("doc_id", "text_hash", "spans", F.coalesce(free, F.array().cast("array<struct<start:int,end:int,disclosure:double>>")).alias("terms")), rows, ROWS)
 
 
 def sanitised(text: Column, spans: Column, terms: Column) -> Column:

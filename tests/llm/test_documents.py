@@ -84,11 +84,11 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in found.collect())
 
 
-@pytest.mark.parametrize("group", [4096, 3])
-def test_links_between_edits_in_one_bucket(spark, monkeypatch, group):
-    """Groups by single buckets, and blocks of a few texts, find the same."""
-    monkeypatch.setattr(neardup, "GROUP", group)
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 150)
+@pytest.mark.parametrize("blocks", [((1_000_000, 4_096), (250_000, 1_024)), ((150, 4), (90, 3))])
+def test_links_between_edits_in_one_bucket(spark, monkeypatch, blocks):
+    """Blocks of a few texts find the same."""
+    monkeypatch.setattr(neardup, "X_BLOCK", blocks[0])
+    monkeypatch.setattr(neardup, "Y_BLOCK", blocks[1])
     r = random.Random(4)
     base = [f"w{k}" for k in range(60)]
     rows = [(k, edited(r, base, 1 + k % 4)) for k in range(1, 120)]
@@ -109,7 +109,7 @@ def test_near_duplicates_edges(spark):
     assert collections.Counter(found) == collections.Counter([(None, 7, False), (None, 7, False), (7, 7, True), (7, 7, True), (8, 8, True), (None, None, True), (9, 7, False)])
     left = neardup.deduplicated(docs)
     assert left.columns == docs.columns
-    assert sorted((x["doc_id"] or 0, x["kept"]) for x in left.collect()) == [(0, 1), (0, 1), (0, 4), (7, 2), (8, 3)]
+    assert sorted((x["doc_id"] or 0, x["kept"]) for x in left.collect()) == [(0, 4), (7, 2), (8, 3)]
     assert neardup.near_duplicates(docs.where("doc_id < 0")).count() == 0
 
 
@@ -205,8 +205,9 @@ def test_base_spans_by_the_patterns(spark):
     docs = documents(spark, *texts)
     found = {x["doc_id"]: x for x in pii.op2_personal_data(docs).collect()}
     for k, t in enumerate(texts, 1):
-        assert found[k]["base_sha256"] == hashlib.sha256(",".join(plain_spans(t)).encode()).hexdigest(), t
-        assert found[k]["spans"].startswith(",".join(plain_spans(t)))
+        plain = ",".join(plain_spans(t))
+        assert found[k]["base_sha256"] == hashlib.sha256(plain.encode()).hexdigest(), t
+        assert found[k]["spans"].startswith(plain)
 
 
 def test_terms_that_reveal_an_entity(spark):
@@ -223,6 +224,31 @@ def test_terms_that_reveal_an_entity(spark):
     assert all("term:" not in spans[k] for k in range(305, 335))
 
 
+def test_terms_are_found_at_any_distance(spark):
+    """A name stands 10, 100, 1,000 or 5,000 characters from the address that it reveals, or in a document without one."""
+    r = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in "kablimprost" for b in ("ane", "iro", "ulu", "este", "om", "ix", "ap", "ende")]
+    noise = lambda n: " ".join(r.choice(vocabulary) for _ in range(1 + n // 5))  # whole words of 5 characters and more
+    rows, planted = [noise(r.randrange(100, 900)) for _ in range(400)], []
+    for k, far in enumerate([10, 100, 1000, 5000] * 5):
+        for _ in range(4):
+            planted.append((len(rows) + 1, f"Person{k}", far))
+            rows.append(f"{noise(60)} Person{k}, {noise(far)} who{k}@site.org {noise(50)}")
+        planted.append((len(rows) + 1, f"Person{k}", 0))
+        rows.append(f"{noise(200)} (Person{k}) {noise(200)}")
+    out = {x["doc_id"]: x["text"] for x in pii.sanitise(documents(spark, *rows)).collect()}
+    for d, name, far in planted:
+        assert name not in out[d], (d, name, far)
+    assert all(out[k] == rows[k - 1] for k in range(1, 401))
+
+
+def test_copies_are_no_evidence(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta who@site.org iota kappa lambda"
+    rows = [text] * 5 + [text + f" x{k}" for k in range(3)] + [f"other words number {k} of many" for k in range(50)]
+    found = [x["spans"] for x in pii.op2_personal_data(documents(spark, *rows)).collect()]
+    assert sum("email" in x for x in found) == 8 and not any("term" in x for x in found)
+
+
 def test_sanitising_edges(spark):
     docs = spark.createDataFrame([(1, "call +1 555 123 4567 now", 24, "a"), (1, None, None, "b"), (None, "x a@b.cd y", 10, "c"), (2, "", 0, None)], "doc_id long, text string, n_chars long, spans string")
     out = sorted((str(x["doc_id"]), x["text"], x["n_chars"]) for x in pii.sanitise(docs).collect() if x["text"])
