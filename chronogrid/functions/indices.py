@@ -60,10 +60,10 @@ INDICES = {
     "brightness_index": "sqrt((red ^ 2 + green ^ 2) / 2)",
 }
 
-#: Centres in nm of the pairs of the fixed normalised differences, for cubes of many bands.
-WAVELENGTHS = {"ndvi": (860, 650), "ndre": (790, 715), "ndwi": (560, 860), "ndmi": (860, 1610), "nbr": (860, 2200), "ndsi": (560, 1610), "pri": (531, 570)}
+#: Centres in nm of the pairs of the fixed normalised differences, for cubes of many bands, and how far bands may be.  Fixed values.
+WAVELENGTHS = {"ndvi": (860, 650, 50), "ndre": (790, 720, 15), "ndwi": (560, 860, 50), "ndmi": (860, 1650, 60), "nbr": (860, 2200, 60), "ndsi": (560, 1650, 60), "pri": (531, 570, 6)}
 
-#: Parameters of the kernels by which reflectance varies with view and sun: isotropic, geometric, volumetric (Roy and others 2016).
+#: Parameters of the kernels by which reflectance varies with view and sun: isotropic, geometric, volumetric (Roy and others 2016).  Fixed values.
 BRDF = {"blue": (0.0774, 0.0079, 0.0372), "green": (0.1306, 0.0178, 0.0580), "red": (0.1690, 0.0227, 0.0574), "nir": (0.3093, 0.0330, 0.1535), "swir1": (0.3430, 0.0453, 0.1154), "swir2": (0.2658, 0.0387, 0.0639)}
 
 
@@ -75,17 +75,24 @@ def index(cube: Cube, name: str, roles: dict[str, str] | None = None) -> DataFra
     return evaluate(named, INDICES[name], name)
 
 
-def nearest_bands(wavelengths: dict[str, float], name: str, tolerance: float = 40.0) -> tuple[str, str]:
-    """The bands nearest to the pair of a fixed index, each within the tolerance."""
+def nearest_bands(wavelengths: dict[str, float], name: str) -> tuple[str, str]:
+    """The bands nearest to the pair of a fixed index, each within the index's tolerance; the first named on ties."""
+    *centres, tolerance = WAVELENGTHS[name]
     out = []
-    for centre in WAVELENGTHS[name]:
-        band, w = min(wavelengths.items(), key=lambda x: (abs(x[1] - centre), x[0]))
-        if abs(w - centre) > tolerance:
+    for centre in centres:
+        band = min(wavelengths, key=lambda b: abs(wavelengths[b] - centre))
+        if abs(wavelengths[band] - centre) > tolerance:
             raise ValueError(f"no band within {tolerance} nm of {centre} nm for {name}")
         out.append(band)
     return out[0], out[1]
 
 
+def by_wavelength(cube: Cube, wavelengths: dict[str, float], name: str) -> DataFrame:
+    """A fixed normalised difference of a cube whose bands have these centres in nm."""
+    a, b = nearest_bands(wavelengths, name)
+    return evaluate(cube, f"nd({a}, {b})", name)
+
+
 def _kernels(sza: Column, vza: Column, raa: Column) -> tuple[Column, Column]:
     """Ross-Thick and Li-Sparse-Reciprocal kernels of angles in degrees (h/b = 2, b/r = 1)."""
     s, v, a = (F.radians(x) for x in (sza, vza, raa))

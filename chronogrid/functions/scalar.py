@@ -100,11 +100,11 @@ def bits(x: Column, start: int, count: int) -> Column:
 #: Quality codes that count as clear.  Fixed values: cloud, shadow and snow bits of the products named.
 USABLE = {
     "fmask": lambda q: q.isin(0, 1),
-    "landsat_c2": lambda q: q.bitwiseAND(0b11111) == 0,
-    "scl": lambda q: q.isin(2, 4, 5, 6, 7, 11),
+    "landsat_c2": lambda q: q.bitwiseAND(0x3B) == 0,  # fill, dilated cloud, cloud, shadow, snow; not cirrus
+    "scl": lambda q: q.between(4, 6),
     "nonzero": lambda q: q != 0,
     "zero": lambda q: q == 0,
-    "hls": lambda q: q.bitwiseAND(0b111110) == 0,
+    "hls": lambda q: (q != 255) & (q.bitwiseAND(0x1E) == 0),
 }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import divide
+from .ranks import counted, cumulative
 
 
 def offsets(radius: int, shape: str = "square") -> list[tuple[int, int]]:
@@ -121,10 +122,10 @@ def lagged_correlation(obs: DataFrame, driver: DataFrame, lags: list[int], key:
 
 def false_discovery(tests: DataFrame, p: str, alpha: float, by: str) -> DataFrame:
     """Benjamini-Hochberg: tests that stay significant at a false discovery rate; ranks are counted within `by`."""
-    w = Window.partitionBy(by)
-    ranked = tests.withColumn("rank", F.row_number().over(w.orderBy(p))).withColumn("m", F.count("*").over(w))
-    limit = F.max(F.when(F.col(p) <= alpha * F.col("rank") / F.col("m"), F.col(p))).over(w)
-    return ranked.withColumn("significant", F.coalesce(F.col(p) <= limit, F.lit(False))).drop("rank", "m")
+    ranked = cumulative(counted(tests, [by], p), [by], p)
+    limit = F.max(F.when(F.col(p) <= alpha * (F.col("before") + F.col("n")) / F.col("of"), F.col(p)))
+    limits = ranked.groupBy(F.col(by).alias("__by")).agg(limit.alias("__limit"))
+    return tests.join(limits, F.col(by).eqNullSafe(F.col("__by")), "left").withColumn("significant", F.coalesce(F.col(p) <= F.col("__limit"), F.lit(False))).drop("__by", "__limit")
 
 
 def patches(cells: DataFrame, cut, diagonal: bool = False) -> DataFrame:

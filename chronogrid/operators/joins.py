@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
+from .ranks import percentiles
 
 ZONES = 5_000  #: zones that are broadcast, at most
 DAY = 86_400_000_000
@@ -88,11 +89,9 @@ def cells_in_zones(cells: DataFrame, zones: DataFrame, tile: float = 8.0) -> Dat
 def zonal_statistics(obs: DataFrame, cells: DataFrame, zones: DataFrame) -> DataFrame:
     """n, mean, std (of all), extremes and percentiles of the values in each zone at each date (obs: px, ts, value; cells: px, x, y)."""
     rows = obs.where("value is not null").join(cells_in_zones(cells, zones).select("zone", "px"), "px")
-    p = lambda q: F.percentile("value", q)
-    return rows.groupBy("zone", "ts").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), p(0.1).alias("p10"), p(0.25).alias("p25"),
-        p(0.5).alias("median"), p(0.75).alias("p75"), p(0.9).alias("p90"), F.max("value").alias("max"),
-    )
+    sums = rows.groupBy("zone", "ts").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    shares = percentiles(rows, ["zone", "ts"], "value", {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9})
+    return sums.join(shares, ["zone", "ts"]).select("zone", "ts", "n", "mean", "std", "min", "p10", "p25", "median", "p75", "p90", "max")
 
 
 def zonal_classes(classes: DataFrame, cells: DataFrame, zones: DataFrame, cell_area: float = 900.0) -> DataFrame:

@@ -65,10 +65,12 @@ def kmeans(rows: DataFrame, features, k: int, seed: int = 1) -> DataFrame:
 
 
 def principal_components(rows: DataFrame, features, k: int) -> DataFrame:
-    """`rows` with pc (array): scores on the first k components of the covariance."""
+    """`rows` with pc (array): scores on the first k components of the covariance; the greatest loading of each is positive."""
     vectors = as_vectors(rows, features)
     model = PCA(k=k, inputCol="features", outputCol="pc").fit(vectors)
-    return model.transform(vectors).withColumn("pc", vector_to_array("pc")).drop("features")
+    axes = model.pc.toArray()
+    sign = F.lit([1.0 if c[np.argmax(np.abs(c))] > 0 else -1.0 for c in axes.T])
+    return model.transform(vectors).withColumn("pc", F.zip_with(vector_to_array("pc"), sign, lambda x, s: x * s)).drop("features")
 
 
 def self_organised(rows: DataFrame, features: list[str], width: int, height: int, passes: int = 10, sample: int = 5_000, seed: int = 1) -> DataFrame:
@@ -145,18 +147,36 @@ def noise_fractions(cells: DataFrame, bands: list[str], k: int) -> tuple[DataFra
     return project(cells, bands, mean, signed(white @ rot[:, order]), [f"mnf{i + 1}" for i in range(len(order))]), snr[order]
 
 
+def chi2_survival(chi: Column, df: int) -> Column:
+    """The probability of a greater chi square with `df` degrees of freedom, to 1e-7 of itself; 1 where it isn't positive."""
+    x = F.greatest(chi, F.lit(0.0)) / 2
+    if df % 2 == 0:
+        total, term = F.lit(0.0), F.lit(1.0)
+        for j in range(df // 2):
+            term = term * x / j if j else term
+            total = total + term
+        return F.exp(-x) * total
+    # the complementary error function by Chebyshev's fit (Press and others), then the finite sum
+    z = F.sqrt(x)
+    t = 1 / (1 + 0.5 * z)
+    poly = F.lit(0.0)
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = poly * t + c
+    total = t * F.exp(-x + poly)
+    for j in range(1, df // 2 + 1):
+        total = total + F.exp(-x) * F.pow(x, F.lit(j - 0.5)) / math.gamma(j + 0.5)
+    return F.least(total, F.lit(1.0))
+
+
 def altered_by_reweighting(before: DataFrame, after: DataFrame, bands: list[str], key: str = "px", rounds: int = 30, tolerance: float = 1e-3) -> DataFrame:
     """IR-MAD: canonical variates of two images, reweighted by the probability of no change; chi square and that probability for each key.
 
     Each round is one weighted aggregate; matrices of bands by bands come to the driver.
     """
-    from ..kernels.distributions import chi2_cdf
-
     n = len(bands)
     names = [f"b_{b}" for b in bands] + [f"a_{b}" for b in bands]
     both = before.select(key, *[F.col(b).alias(f"b_{b}") for b in bands]).join(after.select(key, *[F.col(b).alias(f"a_{b}") for b in bands]), key).dropna()
-    table = [chi2_cdf(x / 4, n) for x in range(0, 400)]
-    probability = lambda chi: 1 - F.coalesce(F.get(F.lit(table), F.least(F.lit(399), F.floor(chi * 4)).cast("int")), F.lit(1.0))
+    probability = lambda chi: chi2_survival(chi, n)
     rows, w, last = both, F.lit(1.0), None
     chi: Column = F.lit(0.0)
     for _ in range(rounds):

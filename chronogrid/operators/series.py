@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions.scalar import divide
+from .ranks import counted, cumulative, percentiles
 
 KEY = "px"
+FRONT_BLOCKS = 16  #: parts that sets are held against each other in
 
 
 def by_key(key: str = KEY):
@@ -23,6 +25,11 @@ def in_order(key: str = KEY, ts: str = "ts"):
     return Window.partitionBy(key).orderBy(calendar.micros(F.col(ts)))
 
 
+def backwards(key: str = KEY, ts: str = "ts"):
+    """The same dates from the last on: what follows a date is summed up row by row then, as what precedes it is in order."""
+    return Window.partitionBy(key).orderBy(calendar.micros(F.col(ts)).desc())
+
+
 def middle(sorted_values: Column) -> Column:
     """Median of a sorted array; NULL if it is empty."""
     n = F.size(sorted_values)
@@ -67,13 +74,8 @@ def series_stats(obs: DataFrame, key: str = KEY) -> DataFrame:
 
 def sample_stats(obs: DataFrame) -> DataFrame:
     """Over all keys at a date: n, mean, std (n - 1; 0 of one) and percentiles that are values of the sample, the lower one."""
-    valid = obs.where(F.col("value").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("ts").orderBy("value")) - 1
-    n = F.count("*").over(Window.partitionBy("ts"))
-    ranked = valid.withColumn("rank", rank).withColumn("of", n)
-    at = lambda p: F.max(F.when(F.col("rank") == F.floor(F.lit(p) * (F.col("of") - 1)), F.col("value")))
-    stats = [at(p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)]
-    return ranked.groupBy("ts").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), *stats)
+    sums = obs.where(F.col("value").isNotNull()).groupBy("ts").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+    return sums.join(percentiles(obs, ["ts"], "value", {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)}, interpolate=False), "ts")
 
 
 def observations_per_year(obs: DataFrame, key: str = KEY) -> DataFrame:
@@ -140,9 +142,9 @@ def annual_harmonic(obs: DataFrame, key: str = KEY) -> DataFrame:
 
 def average_ranks(obs: DataFrame, by: str = "ts") -> DataFrame:
     """Rank of each value among those of its date; ties share the mean of their ranks."""
-    first = F.rank().over(Window.partitionBy(by).orderBy(F.col("value").asc_nulls_last()))
-    same = F.count("value").over(Window.partitionBy(by, "value"))
-    return obs.withColumn("rank", F.when(F.col("value").isNotNull(), first + (same - 1) / 2.0))
+    ranks = cumulative(counted(obs, [by], "value"), [by], "value")
+    ranks = ranks.select(F.col(by).alias("__by"), F.col("value").alias("__value"), (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
+    return obs.join(ranks, F.col(by).eqNullSafe(F.col("__by")) & (F.col("value") == F.col("__value")), "left").drop("__by", "__value")
 
 
 def clearest_dates(obs: DataFrame, k: int) -> DataFrame:
@@ -154,14 +156,20 @@ def clearest_dates(obs: DataFrame, k: int) -> DataFrame:
 def pareto_front(sets: DataFrame, better: list[str], key: str) -> DataFrame:
     """Sets that no other one beats: at least as good in all of `better` (greater is better) and better in one.
 
-    Sets are parameter settings, some thousands; they are dealt by hash, and each side of the comparison is one of them.
+    Sets are dealt into FRONT_BLOCKS by hash: first each block keeps its own front, then the fronts are held against each
+    other block by block.  `key` tells sets apart.
     """
-    other = sets.select(*[F.col(b).alias(f"o_{b}") for b in better])
-    as_good, one = F.lit(True), F.lit(False)
+    own = sets.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(FRONT_BLOCKS)))
+    other = own.select(F.col("__block").alias("__other"), *[F.col(b).alias(f"__o_{b}") for b in better])
+    beaten, one = F.col("__block") == F.col("__other"), F.lit(False)
     for b in better:
-        as_good = as_good & (F.col(f"o_{b}") >= F.col(b))
-        one = one | (F.col(f"o_{b}") > F.col(b))
-    return sets.join(other, as_good & one, "left_anti")
+        beaten = beaten & (F.col(f"__o_{b}") >= F.col(b))
+        one = one | (F.col(f"__o_{b}") > F.col(b))
+    front = own.join(other, beaten & one, "left_anti")
+    other = front.select(F.col("__block").alias("__other"), *[F.col(b).alias(f"__o_{b}") for b in better])
+    met = front.select(key, *better, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FRONT_BLOCKS - 1).cast("long"))).alias("__block"))
+    lost = met.join(other, beaten & one, "left_semi").select(F.col(key).alias("__lost")).distinct()
+    return front.join(lost, F.col(key).eqNullSafe(F.col("__lost")), "left_anti").select(*sets.columns)
 
 
 def band_scores(cube: DataFrame, bands: list[str]) -> DataFrame:
@@ -217,11 +225,12 @@ def gap_filled(obs: DataFrame, key: str = KEY) -> DataFrame:
     t = calendar.epoch(F.col("ts"))
     known = F.when(F.col("value").isNotNull(), F.struct(t.alias("t"), F.col("value").alias("v")))
     rows = obs.withColumn("a", F.last(known, ignorenulls=True).over(in_order(key).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("b", F.first(known, ignorenulls=True).over(in_order(key).rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("b", F.last(known, ignorenulls=True).over(backwards(key).rowsBetween(Window.unboundedPreceding, 0)))
     line = F.col("a.v") + divide(F.col("b.v") - F.col("a.v"), (F.col("b.t") - F.col("a.t")).cast("double")) * (t - F.col("a.t"))
     return rows.select(key, "ts", F.coalesce("value", line, "a.v", "b.v").alias("value"))
 
 
 def stretch(obs: DataFrame, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
     """Limits between which the middle of all values lies, for display: exact percentiles of a date's values."""
-    return obs.groupBy("ts").agg(F.percentile("value", lo).alias("lo"), F.percentile("value", hi).alias("hi"))
+    found = percentiles(obs, ["ts"], "value", {"lo": lo, "hi": hi})
+    return obs.select("ts").distinct().join(found, "ts", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import divide
 
 Z95 = 1.959963984540054
+HASH_RANGES = 1024  #: ranges of hashes within a stratum
 
 
 def confusion(samples: DataFrame) -> DataFrame:
@@ -86,10 +87,26 @@ def allocation(strata: DataFrame, n: int, least: int) -> DataFrame:
 
 
 def draw(units: DataFrame, strata: DataFrame, unit: str, seed: int) -> DataFrame:
-    """n units of each stratum (stratum, n), those with the least hash of seed and unit; ranks are counted in the strata."""
+    """n units of each stratum (stratum, n), those with the least hash of seed and unit."""
+    ranked = in_hash_order(units, unit, seed).join(strata.select("stratum", "n"), "stratum")
+    return ranked.where("__k <= n").drop("__k", "__of", "n")
+
+
+def in_hash_order(units: DataFrame, unit: str, seed: int) -> DataFrame:
+    """`units` with __k, the place of their hash in the stratum, and __of, the stratum's units.
+
+    Hashes are dealt into HASH_RANGES ranges by their beginning, whose counts are summed up; only within a range units are
+    put in order, so that no stratum is met in one task.
+    """
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(unit).cast("string")))
-    ranked = units.withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy(order)))
-    return ranked.join(F.broadcast(strata.select("stratum", "n")), "stratum").where("k <= n").drop("k", "n")
+    dealt = units.withColumn("__h", order).withColumn("__range", F.floor(F.conv(F.substring("__h", 1, 3), 16, 10).cast("int") * HASH_RANGES / 4096).cast("int"))
+    sums = dealt.groupBy(F.col("stratum").alias("__s"), F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy("__s")
+    below = F.coalesce(F.sum("__n").over(w.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("__s", "__r", below.alias("__below"), F.sum("__n").over(w).alias("__of"))
+    k = F.row_number().over(Window.partitionBy("stratum", "__range").orderBy("__h"))
+    found = dealt.withColumn("__k", k).join(sums, F.col("stratum").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    return found.withColumn("__k", F.col("__k") + F.col("__below")).drop("__h", "__range", "__s", "__r", "__below")
 
 
 def area_by_year(changes: DataFrame, cell_ha: float) -> DataFrame:
@@ -98,10 +115,8 @@ def area_by_year(changes: DataFrame, cell_ha: float) -> DataFrame:
 
 def split_in_strata(samples: DataFrame, share: float, unit: str, seed: int) -> DataFrame:
     """`calibration` for a share of each stratum by hash order, else `validation`."""
-    w = Window.partitionBy("stratum")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(unit).cast("string")))
-    k = F.row_number().over(w.orderBy(order))
-    return samples.withColumn("part", F.when(k <= F.rint(share * F.count("*").over(w)), "calibration").otherwise("validation"))
+    ranked = in_hash_order(samples, unit, seed)
+    return ranked.withColumn("part", F.when(F.col("__k") <= F.rint(share * F.col("__of")), "calibration").otherwise("validation")).drop("__k", "__of")
 
 
 def block_folds(points: DataFrame, size: float, folds: int) -> DataFrame:

@@ -73,7 +73,8 @@ def interpolate_linear(obs: DataFrame, step: int, key: str = KEY) -> DataFrame:
     known = F.when(F.col("value").isNotNull(), F.struct(day.alias("d"), F.col("value").alias("v")))
     order = Window.partitionBy(key).orderBy(day, "grid")
     before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # (over the descending order, for a frame that ends with the key's last date is summed up anew for each row)
+    after = F.last(known, ignorenulls=True).over(Window.partitionBy(key).orderBy(day.desc(), F.col("grid").desc()).rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumn("a", before).withColumn("b", after).withColumn("d", day).where("grid = 1")
     slope = divide(F.col("b.v") - F.col("a.v"), F.col("b.d") - F.col("a.d"))
     return both.select(key, "day", F.when(F.col("a.d") == F.col("d"), F.col("a.v")).otherwise(F.col("a.v") + slope * (F.col("d") - F.col("a.d"))).alias("value"))
@@ -208,7 +209,7 @@ def fill_linear(periods: DataFrame, max_gap_days: int | None = None, key: str =
     known = F.when(F.col("value").isNotNull(), F.struct(day.alias("d"), F.col("value").alias("v")))
     order = Window.partitionBy(key).orderBy(day)
     rows = periods.withColumn("a", F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("b", F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("b", F.last(known, ignorenulls=True).over(Window.partitionBy(key).orderBy(day.desc()).rowsBetween(Window.unboundedPreceding, 0)))
     line = F.col("a.v") + divide(F.col("b.v") - F.col("a.v"), F.col("b.d") - F.col("a.d")) * (day - F.col("a.d"))
     if max_gap_days is not None:
         line = F.when(F.col("b.d") - F.col("a.d") <= max_gap_days, line)

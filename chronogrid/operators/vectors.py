@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import divide
+from .ranks import percentiles
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,16 +37,13 @@ def change(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def centroids(labelled: DataFrame) -> DataFrame:
     """The mean of each label's unit vectors."""
-    length = norm(F.col("vector"))
-    unit = labelled.select("label", F.transform("vector", lambda x: divide(x.cast("double"), F.when(length > 0, length))).alias("u"))
-    per = unit.select("label", F.posexplode("u").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v"))
+    per = labelled.select("label", unit(F.col("vector")).alias("u")).select("label", F.posexplode("u").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v"))
     return per.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda p: p["v"]).alias("centroid"))
 
 
 def unit(a: Column) -> Column:
-    """A vector at length 1; NULL where it has none."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length))
+    """A vector at length 1; NULL where it has none.  The length is bound to an array's element, or it would be computed for each number."""
+    return F.element_at(F.transform(F.array(norm(a)), lambda length: F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length))), 1)
 
 
 def classify_nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
@@ -119,6 +117,6 @@ def dissimilarity(points: DataFrame, training: DataFrame) -> DataFrame:
 
 def percentile_scaled(obs: DataFrame, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
     """Values between two percentiles of all as 1e-4 to 1."""
-    p = obs.agg(F.percentile("value", lo).alias("a"), F.percentile("value", hi).alias("b"))
+    p = percentiles(obs, [], "value", {"a": lo, "b": hi})
     x = divide(F.col("value") - F.col("a"), F.col("b") - F.col("a"))
     return obs.join(F.broadcast(p)).select("px", "ts", F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(1e-4), x))).alias("value"))

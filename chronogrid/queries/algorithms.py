@@ -128,8 +128,23 @@ def _index_sql(formula: str) -> str:
 
     text = re.sub(r"nd\((\w+), (\w+)\)", r"((\1 - \2) / (\1 + \2))", formula).replace("(1 / 3)", "(1.0 / 3)")
     rows = ", ".join(f"{e} AS {k}" for k, e in ROLES.items())
-    return f"SELECT px, ts, ({text})::DOUBLE AS value FROM (SELECT l_orderkey * 10 + l_linenumber AS px, l_shipdate AS ts, {rows} FROM lineitem WHERE l_orderkey % 20 = 0)"
+    return f"SELECT px, ts, ({text})::DOUBLE AS value FROM (SELECT l_orderkey * 10 + l_linenumber AS px, l_shipdate AS ts, {rows} FROM lineitem)"
 
 
 for _index, _formula in indices.INDICES.items():
     R.add(f"index_{_index}", lambda s, d, k=_index: indices.index(_scene(s, d), k).withColumnRenamed(k, "value"), _index_sql(_formula), "value", 5)
+
+#: Bands of the scene by centre in nm, and a pair that is narrow enough for PRI
+CENTRES = {"blue": 480.0, "green": 560.0, "red": 655.0, "rededge": 717.0, "edge3": 783.0, "nir": 865.0, "swir1": 1609.0, "swir2": 2201.0, "n531": 530.0, "n570": 572.0}
+
+
+def _fine_scene(s, d) -> Cube:
+    scene = _scene(s, d)
+    more = {"edge3": F.col("nir") - 0.02, "n531": F.col("green") - 0.01, "n570": F.col("green") + 0.01}
+    return Cube(scene.rows.withColumns(more), scene.keys, scene.ts)
+
+
+for _name, _a, _b in (("ndvi", "nir", "red"), ("ndre", "nir - 0.02", "rededge"), ("ndwi", "green", "nir"), ("ndmi", "nir", "swir1"), ("nbr", "nir", "swir2"), ("ndsi", "green", "swir1"), ("pri", "green - 0.01", "green + 0.01")):
+    _rows = ", ".join(f"{e} AS {k}" for k, e in ROLES.items())
+    _sql = f"SELECT px, ts, (({_a}) - ({_b})) / (({_a}) + ({_b})) AS value FROM (SELECT l_orderkey * 10 + l_linenumber AS px, l_shipdate AS ts, {_rows} FROM lineitem)"
+    R.add(f"wavelength_{_name}", lambda s, d, k=_name: indices.by_wavelength(_fine_scene(s, d), CENTRES, k).withColumnRenamed(k, "value"), _sql, "value", 5)

@@ -8,7 +8,7 @@ from ..lang import evaluate
 from ..plans import bindings
 from .common import rounded, rounded_sql
 
-CUBES = {"orders": (bindings.orders, bindings.ORDERS_SQL), "events": (bindings.events, bindings.EVENTS_SQL), "items": (bindings.items, bindings.ITEMS_SQL)}
+CUBES = {"orders": (bindings.orders, bindings.ORDERS_SQL), "events": (bindings.events, bindings.EVENTS_SQL), "items": (bindings.items, bindings.ITEMS_SQL), "gaps": (bindings.gaps, bindings.GAPS_SQL), "codes": (bindings.codes, bindings.CODES_SQL)}
 
 EPOCH = "floor(epoch(ts))::BIGINT"
 DECYEAR = "(year({0}) + (epoch({0}) - epoch(date_trunc('year', {0}))) / (CASE WHEN (year({0}) % 4 = 0 AND year({0}) % 100 <> 0) OR year({0}) % 400 = 0 THEN 366 ELSE 365 END * 86400.0))"
@@ -38,7 +38,11 @@ PROGRAMS: dict[str, tuple[str, str, str]] = {
     "scalar_valid": ("events", "isnan(s) + 2 * isvalid(red) + 4 * (nir == nan) + 8 * (nir != nan) + coalesce(red, nir, 0)", "SELECT px, ts, (s IS NULL)::INT + 2 * (red IS NOT NULL)::INT + 4 * (nir IS NULL)::INT + 8 * (nir IS NOT NULL)::INT + coalesce(red, nir, 0) AS value FROM {}"),
     "scalar_in_list": ("events", "in(q, 1, 2, 3, 50)", "SELECT px, ts, (q IN (1, 2, 3, 50))::INT::DOUBLE AS value FROM {}"),
     "scalar_bits": ("events", "bit(q, 3) + 10 * bits(q, 1, 3)", "SELECT px, ts, ((q::BIGINT >> 3) & 1) + 10 * ((q::BIGINT >> 1) & 7)::DOUBLE AS value FROM {}"),
-    "scalar_qa_mask": ("events", 'qa(s, q, "landsat_c2")', "SELECT px, ts, CASE WHEN (q::BIGINT & 31) = 0 THEN s END AS value FROM {}"),
+    "scalar_qa_mask": ("events", 'qa(s, q, "landsat_c2")', "SELECT px, ts, CASE WHEN (q::BIGINT & 59) = 0 THEN s END AS value FROM {}"),
+    "scalar_qa_scl": ("codes", 'qa(s, q, "scl")', "SELECT px, ts, CASE WHEN q::BIGINT BETWEEN 4 AND 6 THEN s END AS value FROM {}"),
+    "scalar_qa_hls": ("codes", 'qa(s, q, "hls")', "SELECT px, ts, CASE WHEN q::BIGINT <> 255 AND (q::BIGINT & 30) = 0 THEN s END AS value FROM {}"),
+    "scalar_qa_fmask": ("codes", 'qa(s, q, "fmask")', "SELECT px, ts, CASE WHEN q::BIGINT IN (0, 1) THEN s END AS value FROM {}"),
+    "scalar_qa_landsat": ("codes", 'qa(s, q, "landsat_c2")', "SELECT px, ts, CASE WHEN (q::BIGINT & (1 + 2 + 8 + 16 + 32)) = 0 THEN s END AS value FROM {}"),
     "scalar_three_valued_logic": ("events", "(s > 100 and red > 50) + 2 * (s > 100 or red > 50) + 4 * not (s > 100)", "SELECT px, ts, (s > 100 AND red > 50)::INT + 2 * (s > 100 OR red > 50)::INT + 4 * (NOT s > 100)::INT::DOUBLE AS value FROM {}"),
     "scalar_dates": ("orders", "year + month / 100 + day / 10000 + doy + decyear", f"SELECT px, ts, year(ts) + month(ts) / 100 + day(ts) / 10000 + dayofyear(ts) + {decyear('ts')} AS value FROM {{}}"),
     "scalar_date_index": ("orders", "t + s * 0", "SELECT px, ts, row_number() OVER (PARTITION BY px ORDER BY ts) - 1 + s * 0 AS value FROM {}"),
@@ -67,17 +71,19 @@ PROGRAMS: dict[str, tuple[str, str, str]] = {
     "trailing_window_mean": ("events", "mean(s, 5d)", f"SELECT px, ts, avg(s) OVER (PARTITION BY px ORDER BY {EPOCH} RANGE BETWEEN 431999 PRECEDING AND CURRENT ROW) AS value FROM {{}}"),
     "trailing_window_max": ("orders", "max(s, 6m)", f"SELECT px, ts, max(s) OVER (PARTITION BY px ORDER BY {EPOCH} RANGE BETWEEN 15778799 PRECEDING AND CURRENT ROW) AS value FROM {{}}"),
     "trailing_window_count": ("orders", "count(s > 100000, 2w)", f"SELECT px, ts, count(*) FILTER (s > 100000) OVER (PARTITION BY px ORDER BY {EPOCH} RANGE BETWEEN 1209599 PRECEDING AND CURRENT ROW)::DOUBLE AS value FROM {{}}"),
-    "lag_values": ("orders", "s - s[-2]", "SELECT px, ts, s - lag(s, 2 IGNORE NULLS) OVER (PARTITION BY px ORDER BY ts) AS value FROM {}"),
+    "lag_values": ("orders", "s - s[-2]", "SELECT px, ts, s - list_filter(seen, lambda x: x IS NOT NULL)[-2] AS value FROM (SELECT *, list(s) OVER (PARTITION BY px ORDER BY ts ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS seen FROM {})"),
     "lag_one_year": ("orders", "s - lag(s, 1y)", """SELECT px, ts, value FROM (SELECT a.px, a.ts, a.s - b.s AS value, row_number() OVER (PARTITION BY a.px, a.ts ORDER BY abs(epoch(b.ts) - epoch(a.want)) NULLS LAST, b.ts) AS k FROM (
         SELECT c.*, (ts::DATE - INTERVAL 1 YEAR)::DATE::TIMESTAMP AS want, greatest(coalesce(quantile_cont(step, 0.5) OVER (PARTITION BY px), 0) / 2, 691200) AS reach FROM (SELECT *, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY px ORDER BY ts) AS step FROM {}) c) a
         LEFT JOIN (SELECT * FROM {}) b ON a.px = b.px AND abs(epoch(b.ts) - epoch(a.want)) <= a.reach AND b.ts <> a.ts) WHERE k = 1"""),
-    "persist_condition": ("orders", "persist(s > 100000, 3)", """SELECT px, ts, CASE WHEN valid >= 3 THEN (valid - coalesce(max(bad) OVER w, 0) >= 3)::INT::DOUBLE END AS value FROM (
-        SELECT *, CASE WHEN s <= 100000 THEN valid END AS bad FROM (SELECT *, count(s) OVER (PARTITION BY px ORDER BY ts) AS valid FROM {})) WINDOW w AS (PARTITION BY px ORDER BY ts)"""),
+    "persist_condition": ("orders", "persist(s > 100000, 3)", """SELECT px, ts, CASE WHEN len(seen) >= 3 THEN list_min(seen[-3:])::DOUBLE END AS value FROM (
+        SELECT px, ts, list_filter(list((s > 100000)::INT) OVER (PARTITION BY px ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS seen FROM {})"""),
+    "lag_over_gaps": ("gaps", "s - s[-1]", "SELECT px, ts, s - list_filter(seen, lambda x: x IS NOT NULL)[-1] AS value FROM (SELECT *, list(s) OVER (PARTITION BY px ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS seen FROM {})"),
+    "persist_over_gaps": ("gaps", "persist(s > 100000, 2)", """SELECT px, ts, CASE WHEN len(seen) >= 2 THEN list_min(seen[-2:])::DOUBLE END AS value FROM (
+        SELECT px, ts, list_filter(list((s > 100000)::INT) OVER (PARTITION BY px ORDER BY ts ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS seen FROM {})"""),
     "value_at_date": ("items", "at(quantity[1996-03-01 .. 1996-03-01], 19960301)", "SELECT px, max(CASE WHEN ts >= '1996-03-01' AND ts < '1996-03-02' THEN quantity END) AS value FROM {} GROUP BY px"),
     "anomaly_by_month": ("orders", "anomaly(s, base=1995 .. 1998, by=month)", """SELECT px, ts, (s - m) / nullif(d, 0) AS value FROM (SELECT *, avg(s) FILTER (year(ts) <= 1998) OVER w AS m, stddev_pop(s) FILTER (year(ts) <= 1998) OVER w AS d FROM {} WINDOW w AS (PARTITION BY px, month(ts)))"""),
     "anomaly_by_day": ("items", "anomaly(quantity, base=1995 .. 1997, by=doy, window=15d)", """WITH c AS (SELECT * FROM {}), b AS (SELECT px, dayofyear(ts) AS d, quantity AS v FROM c WHERE year(ts) <= 1997 AND quantity IS NOT NULL),
-        g AS (SELECT px, d, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM b GROUP BY 1, 2), k AS (SELECT px, ((d + o - 1 + 365) % 365) + 1 AS d, n, s, q FROM g, (SELECT unnest(range(-15, 16)) AS o)),
-        w AS (SELECT px, d, sum(s) / sum(n) AS m, sqrt(greatest(sum(q) / sum(n) - (sum(s) / sum(n)) ** 2, 0)) AS sd FROM k GROUP BY 1, 2)
+        w AS (SELECT t.px, t.d, avg(v) AS m, stddev_pop(v) AS sd FROM (SELECT DISTINCT px, dayofyear(ts) AS d FROM c) t JOIN b ON t.px = b.px AND least(abs(t.d - b.d), 365 - abs(t.d - b.d)) <= 15 GROUP BY 1, 2)
         SELECT c.px, ts, (quantity - m) / nullif(sd, 0) AS value FROM c LEFT JOIN w ON c.px = w.px AND dayofyear(ts) = w.d"""),
     "correlation_pearson": ("items", "corr(quantity, discount)", "SELECT px, CASE WHEN count(*) FILTER (ok) >= 3 THEN corr(quantity, discount) FILTER (ok) END AS value FROM (SELECT *, quantity IS NOT NULL AND discount IS NOT NULL AS ok FROM {}) GROUP BY px"),
     "correlation_lagged": ("items", "corr(s, tax, lag=1)", "SELECT px, CASE WHEN count(*) FILTER (s IS NOT NULL AND y IS NOT NULL) >= 3 THEN corr(s, y) END AS value FROM (SELECT *, lag(tax, 1 IGNORE NULLS) OVER (PARTITION BY px ORDER BY ts) AS y FROM {}) GROUP BY px"),

@@ -33,9 +33,9 @@ R.add("match_statistics", lambda s, d: J.match_statistics(J.match_nearest(kind(s
 R.add("match_exact_day", lambda s, d: J.match_exact(kind(s, d, "view"), kind(s, d, "click")), f"SELECT a.px, a.ts, a.value, b.other FROM ({VIEWS}) a LEFT JOIN (SELECT px, ts::DATE AS day, arg_min(value, ts) AS other FROM ({CLICKS}) GROUP BY 1, 2) b ON a.px = b.px AND a.ts::DATE = b.day", "value other")
 PERIOD = """SELECT px, ts, value, other FROM (SELECT a.px, a.ts, a.value, b.value AS other, row_number() OVER (PARTITION BY a.px, a.ts ORDER BY abs(epoch_us(b.ts) - epoch_us(a.ts)) NULLS LAST, b.ts) AS k
     FROM ({a}) a LEFT JOIN ({b}) b ON a.px = b.px AND date_trunc('{u}', a.ts) = date_trunc('{u}', b.ts)) WHERE k = 1"""
-R.add("match_same_month", lambda s, d: J.match_period(obs(s, d), obs(s, d).select((F.col("px") - 1).alias("px"), "ts", "value"), "month"), PERIOD.format(a=f"SELECT * FROM ({OBS}) WHERE px % 2 = 0", b=f"SELECT px - 1 AS px, ts, value FROM ({OBS})", u="month"), "value other")
-R.add("match_same_year", lambda s, d: J.match_period(obs(s, d), obs(s, d).select((F.col("px") - 1).alias("px"), "ts", "value"), "year"), PERIOD.format(a=f"SELECT * FROM ({OBS}) WHERE px % 2 = 0", b=f"SELECT px - 1 AS px, ts, value FROM ({OBS})", u="year"), "value other")
-R.add("quality_mask", lambda s, d: J.quality_masked(event_obs(s, d), bindings.events(s, d).rows.select("px", "ts", "q"), lambda q: scalar.usable(q, "landsat_c2")), f"SELECT px, ts, CASE WHEN coalesce((q::BIGINT & 31) = 0, true) THEN s END AS value FROM ({bindings.EVENTS_SQL})", "value")
+R.add("match_same_month", lambda s, d: J.match_period(obs(s, d), obs(s, d).select((F.col("px") - 1).alias("px"), "ts", "value"), "month"), PERIOD.format(a=f"SELECT * FROM ({OBS})", b=f"SELECT px - 1 AS px, ts, value FROM ({OBS})", u="month"), "value other")
+R.add("match_same_year", lambda s, d: J.match_period(obs(s, d), obs(s, d).select((F.col("px") - 1).alias("px"), "ts", "value"), "year"), PERIOD.format(a=f"SELECT * FROM ({OBS})", b=f"SELECT px - 1 AS px, ts, value FROM ({OBS})", u="year"), "value other")
+R.add("quality_mask", lambda s, d: J.quality_masked(event_obs(s, d), bindings.events(s, d).rows.select("px", "ts", "q"), lambda q: scalar.usable(q, "landsat_c2")), f"SELECT px, ts, CASE WHEN coalesce((q::BIGINT & 59) = 0, true) THEN s END AS value FROM ({bindings.EVENTS_SQL})", "value")
 R.add("run_mask", lambda s, d: J.run_mask(obs(s, d), obs(s, d).groupBy("px").agg(F.count_if(F.col("value") > 400000).alias("value"))), f"SELECT * FROM ({OBS}) o WHERE px IN (SELECT px FROM ({OBS}) WHERE value > 400000)", "value")
 R.add("image_with_series", lambda s, d: obs(s, d).join(obs(s, d).groupBy("px").agg(F.max("value").alias("top")), "px").select("px", "ts", (F.col("value") / F.col("top")).alias("value")), f"SELECT px, ts, value / max(value) OVER (PARTITION BY px) AS value FROM ({OBS})", "value")
 R.add("bands_side_by_side", lambda s, d: _pivot(s, d), "SELECT user_id::BIGINT AS px, ts::DATE AS day, max(value) FILTER (event_type = 'view') AS view, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1, 2", "view click purchase")

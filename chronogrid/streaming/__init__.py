@@ -98,8 +98,8 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upserted(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Update-mode results as a table that holds the newest row of each key; a batch that is run again writes the same file."""
+def logged(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Update-mode results by batch: `newest` reads the table that holds the last row of each key.  A batch that is run again writes the same folder."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -108,6 +108,7 @@ def upserted(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) ->
 
 
 def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The row of the last batch for each key of what `logged` wrote."""
     rows = spark.read.option("recursiveFileLookup", True).parquet(path)
     others = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("v")).select(*keys, "v.*")
