@@ -72,27 +72,39 @@ NEAR_DUPLICATES_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all
   SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON d.doc_id = c.doc_id"""
 
 
-def _canonical_sql(url: str) -> str:
-    host = f"regexp_replace(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '^(?:www|m)\\.', '')"
-    path = f"regexp_replace(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?:/|\\.html?|/index\\.html?)$', '')"
-    kept = f"list_sort(list_filter(string_split(regexp_extract({url}, '(?s)^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^{urls.TRACKING}=')))"
-    return f"CASE WHEN contains({url}, '://') THEN {host} || {path} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END END"
+def _key_sql(url: str) -> str:
+    path = f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    host = f"translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    return f"CASE WHEN contains({url}, '://') THEN translate(regexp_extract({url}, '(?s)^(.*?)://', 1), '{UPPER}', '{LOWER}') || '://' || {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || regexp_extract({url}, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) END"
 
 
 def _urls_sql() -> str:
+    """Recursive components over the pages' edges.  Of character references SQL knows only `&amp;`, and it leaves `..` in paths."""
     ordered = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
-    fits = [(f"ends_with('.' || host, '.{h}') AND starts_with(path, '{p}')", v, h + p) for v, h, p in ordered]
-    rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, _, r in fits) + " END"
-    own = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v, _ in fits) + " END"
-    link = "regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)"
-    sent = "regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b[^>]*\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)', 1)"
-    shared = "regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bproperty\\s*=\\s*[\"'']?og:url\\b[^>]*>'), '(?is)\\bcontent\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)"
-    return f"""WITH RECURSIVE p AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, {_canonical_sql("url")} AS k FROM pages),
-      o AS (SELECT *, {rule} AS rule, {own} AS own FROM p), t AS (SELECT k, replace(unnest([{link}, {sent}, {shared}]), '&amp;', '&') AS t FROM p WHERE html IS NOT NULL),
-      e AS (SELECT k AS a, {_canonical_sql("t")} AS b FROM t WHERE t <> ''), b AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
-      r(k, reached) AS (SELECT DISTINCT k, k FROM o WHERE k IS NOT NULL UNION SELECT r.k, b.b FROM r JOIN b ON r.reached = b.a),
-      v AS (SELECT r.k, bool_or(o.own = 'block') AND NOT bool_or(coalesce(o.own, '') = 'allow') AS blocked FROM r JOIN o ON r.reached = o.k GROUP BY r.k)
-      SELECT page_id, host, path, rule, coalesce(own, CASE WHEN v.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM o LEFT JOIN v ON o.k = v.k"""
+
+    def fitting(host: str, path: str, what) -> str:
+        return "CASE " + " ".join(f"WHEN ends_with('.' || {host}, '.{h}') AND starts_with({path}, '{p}') THEN '{what(v, h, p)}'" for v, h, p in ordered) + " END"
+
+    parts = "translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), '" + UPPER + "', '" + LOWER + "')", "regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    tag = "regexp_extract_all(html, '(?is)<{0}[\\s/](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>')"
+    value = "trim(regexp_replace(regexp_extract({0}, '(?is)[\\s\"''/]{1}\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\"''\\s>]+)', 1), '^[\"'']|[\"'']$', '', 'g'))"
+    rel, href, equiv, content, prop = (value.format("x", k) for k in ("rel", "href", "http-equiv", "content", "property"))
+    links = f"list_transform(list_filter({tag.format('link')}, lambda x: regexp_matches({rel}, '(?i)(^|\\s)canonical(\\s|$)')), lambda x: {href})"
+    sent = f"list_transform(list_filter({tag.format('meta')}, lambda x: lower({equiv}) = 'refresh'), lambda x: regexp_extract({content}, '(?is)^[^;,]*[;,]\\s*url\\s*=\\s*[\"'']?([^\"''\\s>;]+)', 1))"
+    shared = f"list_transform(list_filter({tag.format('meta')}, lambda x: lower({prop}) = 'og:url'), lambda x: {content})"
+    site, page = "regexp_extract(url, '(?s)^.*?://[^/?#]*')", "regexp_extract(url, '(?s)^[^?#]*')"
+    folder = f"{site} || CASE WHEN {parts[1].format('url')} = '' THEN '/' ELSE regexp_extract({parts[1].format('url')}, '(?s)^.*/') END"
+    whole = f"""CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t WHEN starts_with(t, '/') THEN {site} || t
+      WHEN starts_with(t, '?') THEN {page} || t WHEN starts_with(t, '#') THEN url WHEN NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {folder} || t END"""
+    rule, own = (fitting("host", "path", f) for f in (lambda v, h, p: h + p, lambda v, h, p: v))
+    node = fitting(parts[0].format("k"), parts[1].format("k"), lambda v, h, p: v)
+    return f"""WITH RECURSIVE p AS (SELECT page_id, url, html, {parts[0].format("coalesce(url, '')")} AS host, {parts[1].format("coalesce(url, '')")} AS path, {_key_sql("url")} AS k FROM pages),
+      t AS (SELECT url, k, replace(unnest({links} || {sent} || {shared}), '&amp;', '&') AS t FROM p WHERE html IS NOT NULL AND k IS NOT NULL), w AS (SELECT k, {whole} AS t FROM t WHERE t <> ''),
+      e AS (SELECT k AS a, {_key_sql("t")} AS b FROM w WHERE t IS NOT NULL), b AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
+      r(k, reached) AS (SELECT a, a FROM b UNION SELECT r.k, b.b FROM r JOIN b ON r.reached = b.a),
+      n AS (SELECT k, {node} AS own FROM (SELECT DISTINCT k FROM r)),
+      v AS (SELECT r.k, bool_or(n.own = 'block') AND NOT bool_or(coalesce(n.own, '') = 'allow') AS blocked FROM r JOIN n ON r.reached = n.k GROUP BY r.k)
+      SELECT page_id, host, path, {rule} AS rule, coalesce({own}, CASE WHEN v.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN v ON p.k = v.k"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,10 @@
 """URL filters with redirect equivalence.
 
 Rules of host and path decide URLs that they fit, the longest one first.  Redirects and canonical links make URLs aliases:
-connected components over these edges carry a block from a URL that a rule blocks to its aliases; where a component also
-has a URL that a rule allows, the allow takes precedence.  A rule that fits a URL always decides that URL.
+connected components over these edges carry a block from a URL that a rule blocks, whether it is a page itself or only a
+target, to its aliases; where a component also has a URL that a rule allows, the allow takes precedence.  A rule that fits a
+URL always decides that URL.  URLs are the same if they differ in the case of scheme and host or in the fragment, or if one
+has no path and the other `/`; other spellings (`www.`, tracking parameters, a final slash) are aliases only if asked for.
 
 Null URLs and such without `://` have an empty host and path, fit no rule and have no alias; their verdict is allow.
 Repeated rows are judged each; further columns of `pages` are passed on (columns named like the outputs are replaced).
@@ -10,8 +12,12 @@ Repeated rows are judged each; further columns of `pages` are passed on (columns
 
 from __future__ import annotations
 
+import html as references
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 
@@ -46,13 +52,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return chain
 
 
+def url_key(url: Column) -> Column:
+    """What URLs of the same page have in common; null without `://`."""
+    scheme, path = F.regexp_extract(url, r"(?s)\A(.*?)://", 1), path_of(url)
+    query = F.regexp_extract(url, r"(?s)\A.*?://[^?#]*(\?[^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(ascii_lower(scheme), F.lit("://"), host_of(url), F.when(path == "", "/").otherwise(path), query))
+
+
 def canonical(url: Column) -> Column:
-    """The form that a site's own spellings of one page share: no scheme, `www.` or `m.`, tracking parameter, fragment, final slash or `.html`; null without `://`."""
+    """The form that a site's own spellings of one page often share, to be used instead of `url_key`: without `www.` or `m.`, tracking parameter, fragment, final slash or `.html`, and with no scheme but `any`; null without `://`."""
     query = F.regexp_extract(url, r"(?s)\A[^?#]*\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(rf"\A{TRACKING}=")))
     host = F.regexp_replace(host_of(url), r"\A(?:www|m)\.", "")
     path = F.regexp_replace(path_of(url), r"(?:/|\.html?|/index\.html?)\z", "")
-    return F.when(url.contains("://"), F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))))
+    return F.when(url.contains("://"), F.concat(F.lit("any://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -97,28 +110,32 @@ def resolved(target: Column, base: Column) -> Column:
     return F.when(own.rlike(r"/\.{1,2}(?:/|\z)"), F.concat(host, F.lit("/"), walked, final, rest)).otherwise(whole)
 
 
-def page_edges(pages: DataFrame) -> DataFrame:
-    """(u, v) of the canonical forms of each page's URL and of all that it redirects or links to as its canonical form."""
-    named = F.transform(targets(F.col("html")), lambda t: F.regexp_replace(t, "&amp;", "&"))
-    found = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv|og:url") & F.col("url").contains("://")).select("url", F.explode(named).alias("t"))
-    return found.select(canonical(F.col("url")).alias("u"), canonical(resolved(F.col("t"), F.col("url"))).alias("v")).where("u is not null and v is not null and u <> v")
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references as what they stand for."""
+    return text.map(references.unescape, na_action="ignore")
+
+
+def page_edges(pages: DataFrame, key=url_key) -> DataFrame:
+    """(u, v) of the keys of each page's URL and of all that it redirects or links to as its canonical form."""
+    found = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv|og:url") & F.col("url").contains("://")).select("url", F.explode(targets(F.col("html"))).alias("t"))
+    found = found.select("url", F.trim(unescaped("t")).alias("t"))
+    return found.select(key(F.col("url")).alias("u"), key(resolved(F.col("t"), F.col("url"))).alias("v")).where("u is not null and v is not null and u <> v")
 
 
-def judge(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
-    """`pages` with host, path, rule, verdict; `edges` (u, v) join canonical forms of URLs."""
+def judge(pages: DataFrame, edges: DataFrame, rules=RULES, key=url_key) -> DataFrame:
+    """`pages` with host, path, rule, verdict; `edges` (u, v) join keys of URLs."""
     url = F.col("url")
     own = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_key", "_fit")])
-    own = own.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("_key", canonical(url))
+    own = own.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("_key", key(url))
     own = own.withColumn("_fit", rule_of(F.col("host"), F.col("path"), rules))
 
-    # each canonical form ties all URLs that have it; edges tie canonical forms
+    # a key ties all URLs that have it, and edges tie keys; only keys of components that are blocked go back to the pages
     joined = components(edges)
-    blocked, allowed = (F.max(F.when(F.col("_fit.verdict") == v, 1).otherwise(0)) for v in ("block", "allow"))
-    per_key = own.where("_key is not null").groupBy("_key").agg(blocked.alias("b"), allowed.alias("a"))
-    per_key = per_key.join(joined, F.col("_key") == F.col("node"), "left").select("_key", "b", "a", F.coalesce("root", "_key").alias("root"))
-    per_root = per_key.groupBy("root").agg(F.max("b").alias("b"), F.max("a").alias("a")).where("b = 1 and a = 0")
-    # only keys of components that are blocked go back to the pages
-    carried = per_key.select("_key", "root").join(per_root.select("root"), "root", "left_semi").select("_key", F.lit(True).alias("_blocked"))
+    fit = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
+    blocked, allowed = (F.max(F.when(fit == v, 1).otherwise(0)) for v in ("block", "allow"))
+    tied = joined.groupBy("root").agg(blocked.alias("b"), allowed.alias("a")).where("b = 1 and a = 0")
+    carried = joined.join(tied.select("root"), "root", "left_semi").select(F.col("node").alias("_key"), F.lit(True).alias("_blocked"))
     out = own.join(carried, "_key", "left")
     verdict = F.coalesce(F.col("_fit.verdict"), F.when(F.col("_blocked"), "block").otherwise("allow"))
     return out.select(*[c for c in own.columns if c not in ("_key", "_fit")], F.col("_fit.rule").alias("rule"), verdict.alias("verdict"))
