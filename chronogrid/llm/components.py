@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, cut
+from .common import Workspace, cut, sized
 
+ROWS = 500_000  #: edges in one part of a table, at least
 ROUNDS = 60  #: far more than any graph needs; the number grows with the square of the logarithm of the nodes
 
 
@@ -22,17 +23,18 @@ def components(edges: DataFrame, into: Workspace | None = None) -> DataFrame:
     """
     with Workspace(edges.sparkSession) as work:
         e = work.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
-        last = None
+        last, n = None, e.count()
+        small = lambda df: sized(df, 2 * n, ROWS)
         for _ in range(ROUNDS):
             # large star: neighbours greater than a node are tied to the least of its neighbourhood
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
             # (a table of its own, so that the join can split the centre of a large star)
-            least = work.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-            e = work.cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+            least = work.cut(small(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "least")
+            e = work.cut(small(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()), "large")
             # small star: a node and its lesser neighbours are tied to the least of them
-            least = work.cut(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+            least = work.cut(small(e.groupBy("u").agg(F.min("v").alias("m"))), "least")
             tied = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-            e = work.cut(tied.distinct(), "small")
+            e = work.cut(small(tied.distinct()), "small")
             now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if now == last:
                 break
@@ -40,4 +42,4 @@ def components(edges: DataFrame, into: Workspace | None = None) -> DataFrame:
         else:
             raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
         roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        return (into.cut if into else cut)(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+        return (into.cut if into else cut)(small(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())), "components")

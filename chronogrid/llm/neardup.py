@@ -24,24 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map, cut
+from .common import Workspace, arrow_map, cut, sized
 from .components import components
 
 WORDS = 5  #: words of a shingle
-MINIMA, ROWS = 128, 4  #: hash minima of a signature, and of them in a band
+MINIMA, ROWS_IN_BAND = 128, 4  #: hash minima of a signature, and of them in a band
 SIMILAR = (75, 100)  #: linked if 100 * intersection >= 75 * union
 PASS_SIGNATURE = 0.5  #: estimated similarity from which full sets are compared; 6.5 standard errors below 0.75
 NO_ID = 1 << 62  #: from here on, nodes of texts whose rows have no id
 #: Shingles and nodes of the two blocks that are held against each other, about.
 X_BLOCK, Y_BLOCK = (1_000_000, 4_096), (250_000, 1_024)
+ROWS, TEXTS = 500_000, 2_000  #: rows of numbers, and of texts or sets, in one part of a table, at least
 FILTER_LONGS = 1 << 16  #: 64-bit numbers in the filter of nodes; a fuller one lets more through, and nothing is lost
 
 _rng = np.random.default_rng(20240229)
 _place = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _a = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _b = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
-_row = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_band = _rng.integers(1, 1 << 63, MINIMA // ROWS, dtype=np.uint64)
+_row = _rng.integers(1, 1 << 63, ROWS_IN_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_band = _rng.integers(1, 1 << 63, MINIMA // ROWS_IN_BAND, dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -88,7 +89,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    return mixed((sig.reshape(-1, ROWS) * _row).sum(axis=1, dtype=np.uint64) + _band).view(np.int64)
+    return mixed((sig.reshape(-1, ROWS_IN_BAND) * _row).sum(axis=1, dtype=np.uint64) + _band).view(np.int64)
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
@@ -181,7 +182,7 @@ def _met(x: _Block, y: _Block, bucket: int) -> list[tuple[int, int]]:
         common = np.bincount(owner[at], minlength=len(y.node))
         maybe &= common * SIMILAR[1] >= (len(s) + y.size - common) * SIMILAR[0]
         if maybe.any():
-            shared = same[maybe].reshape(-1, MINIMA // ROWS, ROWS).all(axis=2)
+            shared = same[maybe].reshape(-1, MINIMA // ROWS_IN_BAND, ROWS_IN_BAND).all(axis=2)
             least = np.where(shared, bands(x.sig[i].view(np.uint32).astype(np.uint64)), np.iinfo(np.int64).max).min(axis=1)
             found += [(int(x.node[i]), int(v)) for v in y.node[maybe][least == bucket]]
     return found
@@ -207,9 +208,9 @@ def _residual(members: DataFrame, sets: DataFrame, root: DataFrame, work: Worksp
     placed = members.select("bucket", "node").join(of_root, "node")
     per = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = per.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("several")).where("several > 1").select("bucket", F.col("m.c").alias("main"))
-    open_ = work.cut(placed.join(main, "bucket").select("node", "bucket", "c", (F.col("c") != F.col("main")).alias("odd")), "open")
+    open_ = work.cut(sized(placed.join(main, "bucket").select("node", "bucket", "c", (F.col("c") != F.col("main")).alias("odd")), members.count(), ROWS), "open")
     once = sets.groupBy("node").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
-    rows = work.cut(open_.join(once, "node"), "open-sets")
+    rows = work.cut(sized(open_.join(once, "node"), open_.count(), TEXTS * 4), "open-sets")
 
     size = F.size("shingles")
     blocks = lambda bound, which: F.ceil(F.greatest(F.sum(F.when(which, size)) / bound[0], F.count(F.when(which, 1)) / bound[1]))
@@ -229,24 +230,28 @@ def _residual(members: DataFrame, sets: DataFrame, root: DataFrame, work: Worksp
 def _grouped(docs: DataFrame, work: Workspace) -> DataFrame:
     """(doc_id, text_hash, n, root) of every row of `docs` (doc_id, text); root is a node, null without a shingle."""
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sketches = work.cut(arrow_map(own, _sketches, "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>"), "sketches")
+    rows = docs.count()
+    sketches = arrow_map(own, _sketches, "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>")
+    sketches = work.cut(sized(sketches, rows, TEXTS), "sketches")
     no_id = F.lit(NO_ID) + F.col("k1").bitwiseAND((NO_ID >> 1) - 1)
     nodes = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    nodes = work.cut(nodes.select("k1", "k2", F.coalesce("node", no_id).alias("node"), "bands"), "nodes")
+    nodes = work.cut(sized(nodes.select("k1", "k2", F.coalesce("node", no_id).alias("node"), "bands"), rows, ROWS // 16), "nodes")
+    many = MINIMA // ROWS_IN_BAND * nodes.count()
+    small = lambda df: sized(df, many, ROWS)
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     # (what is joined by bucket is a table of its own, so that the join can split a hot bucket)
-    shared = work.cut(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "size"), "shared")
-    members = work.cut(buckets.join(shared, "bucket").distinct(), "members")
+    shared = work.cut(small(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "size")), "shared")
+    members = work.cut(small(buckets.join(shared, "bucket").distinct()), "members")
     # the pivot of a bucket is the node that meets the most others in all its buckets, as the origin of edited copies does
-    degree = work.cut(members.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
+    degree = work.cut(small(members.groupBy("node").agg(F.sum("size").alias("degree"))), "degree")
     rated = members.join(degree, "node")
-    pivots = work.cut(rated.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("u")), "pivots")
-    pairs = work.cut(members.join(pivots, "bucket").where("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), "pairs")
-    sets = work.cut(_node_sets(docs, members.select("node").distinct()), "sets")
-    links = work.cut(_linked(pairs, sets), "links")
+    pivots = work.cut(small(rated.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("p")).select("bucket", (-F.col("p.node")).alias("u"))), "pivots")
+    pairs = work.cut(small(members.join(pivots, "bucket").where("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()), "pairs")
+    sets = work.cut(sized(_node_sets(docs, members.select("node").distinct()), rows, TEXTS), "sets")
+    links = work.cut(sized(_linked(pairs, sets), pairs.count(), TEXTS * 4), "links")
     more = _residual(members, sets, components(links, work), work)
-    root = components(work.cut(links.unionByName(more), "all-links"), work)
+    root = components(work.cut(small(links.unionByName(more)), "all-links"), work)
 
     named = nodes.select("k1", "k2", "node").join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
     return sketches.select("doc_id", "text_hash", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", "text_hash", "n", "root")
