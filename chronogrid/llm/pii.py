@@ -16,8 +16,8 @@ context; of terms that reveal several entities the highest disclosure counts; an
 columns are passed on.  Patterns are possessive or start at the end of the last match or of a run, so they take linear time
 over texts of any length; spans are (start, end) in code points, end exclusive.  Entities and terms are told by 64-bit hashes.
 
-Texts are read three times (base values, frequencies, marks) and never shuffled, but for the second step's texts with base
-values, which are written once.
+Texts are read three times (base values, frequencies, marks) and never shuffled; those with base values are written once.
+(Arrays are exploded by explode_outer, for the optimizer would compute what explode takes once more, to filter by its size.)
 """
 
 from __future__ import annotations
@@ -32,19 +32,22 @@ KINDS = ("email", "ip", "card", "phone")
 #: maximal sequences of 16 to 19 digits, as any other would fail.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must contain for a kind to be sought.
 HINTS = {"email": "@", "phone": "+"}
 IP = r"\A0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}\z"
-#: A word: what stands between white space and brackets, quotes or colons, from its first letter or digit to its last.
-TERM = r"[\p{L}\p{N}](?:[^\s<>()\[\]{}:;,|\"=]*[\p{L}\p{N}])?"
+#: What stands between two words: white space, brackets, quotes or colons, and other punctuation beside these or at the ends.
+#: All are characters below 256, which the matcher finds in a table of bits; CURLY ones are taken for PLAIN ones.
+_EDGE, _MARK = r" \t\n\x0B\f\r<>()\[\]{}:;,|\"=", r".!?'«»¿¡*_~#&/\\+%$^`-"
+BETWEEN = rf"[{_MARK}]*+[{_EDGE}][{_EDGE}{_MARK}]*+|\A[{_MARK}]++|[{_MARK}]++\z"
+CURLY, PLAIN = "“”„‘’…", "\"\"\"''."
 PASSAGE, SUPPORT, GENERALISE, REMOVE = 8_192, 2, 0.6, 0.85
 WORDS = 5  #: words of which the least hash tells a context
 EVERY = 0  #: stands for any term at all, where passages are counted
-FILTER_LONGS = 4096  #: 64-bit numbers in the filter of candidate terms; a fuller one lets more through, and nothing is lost
+FILTER_LONGS = 1 << 15  #: 64-bit numbers in a filter of terms or entities; a fuller one lets more through, and nothing is lost
 ROWS = 2_000  #: documents in one part, at least
 STEP = 32  #: matches that are placed together
 
@@ -56,29 +59,31 @@ def bound(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def located(text: Column, pattern: str, keep=None) -> Column:
-    """Start, end and value of all matches, left to right, of a column that isn't null; only of those whose value `keep` accepts."""
+def step_starts(lengths: Column) -> Column:
+    """The sum of all lengths before each step of STEP of them."""
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / STEP).cast("int")), lambda k: F.aggregate(F.slice(lengths, k * STEP + 1, STEP), F.lit(0), lambda acc, x: acc + x))
+    return F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def start_of(lengths: Column, starts: Column, i: Column) -> Column:
+    """The sum of the lengths before number i: of whole steps, from their table, and of the rest."""
+    step = F.floor(i / STEP).cast("int")
+    return F.get(starts, step) + F.aggregate(F.slice(lengths, step * STEP + 1, i % STEP), F.lit(0), lambda acc, x: acc + x)
+
+
+def located(text: Column, pattern: str) -> Column:
+    """Start, end and value of all matches, left to right, of a column that isn't null."""
     length = F.char_length
-    add = lambda acc, x: acc + x
 
     def place(matches: Column, gaps: Column) -> Column:
-        """The place of match i is the sum of all lengths before it: that of whole steps, from a table, and of the rest."""
         lengths = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, v: length(g) + length(v))
         wanted = F.transform(matches, lambda v, i: F.struct(i.alias("i"), v.alias("value")))
-        wanted = F.filter(wanted, lambda x: keep(x["value"])) if keep else wanted
 
-        def with_lengths(n: Column) -> Column:
-            steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / STEP).cast("int")), lambda k: F.aggregate(F.slice(n, k * STEP + 1, STEP), F.lit(0), add))
-            starts = F.aggregate(steps, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        def span(x: Column, n: Column, starts: Column) -> Column:
+            start = start_of(n, starts, x["i"]) + length(F.get(gaps, x["i"]))
+            return bound(start, lambda at: F.struct(at.alias("start"), (at + length(x["value"])).alias("end"), x["value"].alias("value")))
 
-            def span(x: Column, table: Column) -> Column:
-                step, rest = F.floor(x["i"] / STEP).cast("int"), x["i"] % STEP
-                start = F.get(table, step) + F.aggregate(F.slice(n, step * STEP + 1, rest), F.lit(0), add) + length(F.get(gaps, x["i"]))
-                return bound(start, lambda at: F.struct(at.alias("start"), (at + length(x["value"])).alias("end"), x["value"].alias("value")))
-
-            return bound(starts, lambda table: F.transform(wanted, lambda x: span(x, table)))
-
-        return bound(lengths, with_lengths)
+        return bound(lengths, lambda n: bound(step_starts(n), lambda starts: F.transform(wanted, lambda x: span(x, n, starts))))
 
     none = F.array().cast(SPAN)
     return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, bound(F.split(text, pattern, -1), lambda g: place(m, g))).otherwise(none))
@@ -115,8 +120,32 @@ def hashed(c: Column) -> Column:
     return F.xxhash64(c)
 
 
-def term_hash(word: Column) -> Column:
-    return hashed(F.lower(word))
+def plain(text: Column) -> Column:
+    curly = F.lit(False)
+    for c in CURLY:
+        curly = curly | text.contains(c)
+    return F.when(curly, F.translate(text, CURLY, PLAIN)).otherwise(text)
+
+
+def terms_of(text: Column) -> Column:
+    """Hashes of the words of a text, lower-cased; empty ones between two separators count as a word that nobody seeks."""
+    return F.transform(F.split(F.lower(plain(text)), BETWEEN, -1), hashed)
+
+
+def words_at(text: Column, keep=None) -> Column:
+    """Start, end and hash of the words of a text, of those alone whose hash `keep` accepts; words aren't empty."""
+
+    def place(words: Column, seps: Column) -> Column:
+        lengths = F.transform(words, lambda w, i: F.char_length(w) + F.coalesce(F.char_length(F.get(seps, i)), F.lit(0)))
+        wanted = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), F.char_length(w).alias("n"), hashed(F.lower(w)).alias("t"))), lambda x: (x["n"] > 0) & keep(x["t"]) if keep else x["n"] > 0)
+
+        def put(starts: Column, n: Column) -> Column:
+            at = lambda x: start_of(n, starts, x["i"])
+            return F.transform(wanted, lambda x: bound(at(x), lambda a: F.struct(a.alias("start"), (a + x["n"]).alias("end"), x["t"].alias("t"))))
+
+        return bound(lengths, lambda n: bound(step_starts(n), lambda starts: put(starts, n)))
+
+    return bound(plain(text), lambda t: bound(F.split(t, BETWEEN, -1), lambda ws: bound(F.regexp_extract_all(t, F.lit(BETWEEN), F.lit(0)), lambda seps: place(ws, seps))))
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
@@ -138,25 +167,29 @@ def passages(text: Column) -> Column:
 
 
 class Filter:
-    """Tells most numbers that aren't in a column of others: a table of FILTER_LONGS numbers, or-ed together in the cluster.
+    """Tells most numbers that aren't in a column of others, by two bits each in a table of FILTER_LONGS numbers that the cluster ors together.
 
     However full the table is, the join that follows is exact.
     """
 
     def __init__(self, values: DataFrame, name: str):
-        slot = F.pmod(F.col(name), F.lit(64 * FILTER_LONGS))
-        bits = values.select(F.floor(slot / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod({name}, 64) as int))").alias("bits"))
+        spots = values.select(F.explode_outer(F.array(*self.spots(F.col(name)))).alias("spot")).where("spot is not null")
+        bits = spots.select(F.shiftright("spot", 6).alias("at"), F.expr("shiftleft(1L, spot & 63)").alias("bits"))
         filled = {r["at"]: r["bits"] for r in bits.groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()}  # FILTER_LONGS rows at most
         self.table = F.split(F.lit(",".join(str(filled.get(k, 0)) for k in range(FILTER_LONGS))), ",").cast("array<bigint>")  # folded into one literal
 
+    @staticmethod
+    def spots(value: Column) -> list[Column]:
+        return [x.bitwiseAND(64 * FILTER_LONGS - 1).cast("int") for x in (value, F.shiftright(value, 32))]
+
     def may_have(self, value: Column) -> Column:
-        slot = F.pmod(value, F.lit(64 * FILTER_LONGS))
-        return F.getbit(F.get(self.table, F.floor(slot / 64).cast("int")), F.pmod(value, F.lit(64)).cast("int")) == 1
+        one, other = (F.getbit(F.get(self.table, F.shiftright(x, 6)), x.bitwiseAND(63)) == 1 for x in self.spots(value))
+        return one & other
 
 
 def shared_entities(base: DataFrame) -> DataFrame:
     """(e): hashes of the entities that different texts have; others have no second context."""
-    found = base.where("held is not null").select("text_hash", F.explode(F.array_distinct(F.transform("spans", lambda s: hashed(s["entity"])))).alias("e"))
+    found = base.where("held is not null").select("text_hash", F.explode_outer(F.array_distinct(F.transform("spans", lambda s: hashed(s["entity"])))).alias("e"))
     return found.groupBy("e").agg(F.min("text_hash").alias("one"), F.max("text_hash").alias("other")).where("one <> other").select("e")
 
 
@@ -170,28 +203,28 @@ def co_occurrence(base: DataFrame, shared: DataFrame) -> DataFrame:
     # each passage with its place: the one before it ends there
     parts = found.select("own", "spans", context, passages(F.col("held")).alias("parts"))
     ends = F.aggregate("parts", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x))))
-    parts = parts.select("own", "spans", "context", F.explode(F.arrays_zip(F.col("parts").alias("text"), F.slice(ends, 1, F.size("parts")).alias("start"))).alias("p"))
+    parts = parts.select("own", "spans", "context", F.explode_outer(F.arrays_zip(F.col("parts").alias("text"), F.slice(ends, 1, F.size("parts")).alias("start"))).alias("p"))
     parts = parts.select("own", "spans", "context", F.col("p.start").alias("start"), (F.col("p.start") + F.char_length("p.text")).alias("end"), F.col("p.text").alias("text"))
     own = F.array_distinct(F.transform(F.filter("own", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end"))), lambda s: s["e"]))
 
     def terms(near: Column) -> Column:
         """Hashes of the words that no base value has a character of."""
-        free = F.filter(located(F.col("text"), TERM), lambda w: ~F.exists(near, lambda s: (s["start"] < w["end"] + F.col("start")) & (s["end"] > w["start"] + F.col("start"))))
-        return F.array_distinct(F.concat(F.array(F.lit(EVERY).cast("long")), F.transform(free, lambda w: term_hash(w["value"]))))
+        free = F.filter(words_at(F.col("text")), lambda w: ~F.exists(near, lambda s: (s["start"] < w["end"] + F.col("start")) & (s["end"] > w["start"] + F.col("start"))))
+        return F.array_distinct(F.concat(F.array(F.lit(EVERY).cast("long")), F.transform(free, lambda w: w["t"])))
 
     near = F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     words = parts.withColumn("es", own).where(F.size("es") > 0).select("es", "context", bound(near, terms).alias("ts"))
-    per = words.select(F.explode("es").alias("e"), "context", "ts").join(shared, "e", "left_semi")
-    pairs = per.select("e", "context", F.explode("ts").alias("t"))
+    per = words.select(F.explode_outer("es").alias("e"), "context", "ts").join(shared, "e", "left_semi")
+    pairs = per.select("e", "context", F.explode_outer("ts").alias("t"))
     return pairs.groupBy("e", "t").agg(F.countDistinct("context").alias("both")).where(F.col("both") >= SUPPORT)
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(t, df): how many passages of `docs` have each of `terms` (t); at t = EVERY, how many passages there are."""
     known = Filter(terms, "t")
-    every = docs.where("text is not null").select(F.explode(passages(F.col("text"))).alias("p"))
-    found = F.filter(F.transform(F.regexp_extract_all("p", F.lit(TERM), F.lit(0)), term_hash), known.may_have)
-    every = every.select(F.explode(F.array_distinct(F.concat(F.array(F.lit(EVERY).cast("long")), found))).alias("t"))
+    every = docs.where("text is not null").select(F.explode_outer(passages(F.col("text"))).alias("p"))
+    found = F.filter(terms_of(F.col("p")), known.may_have)
+    every = every.select(F.explode_outer(F.array_distinct(F.concat(F.array(F.lit(EVERY).cast("long")), found))).alias("t"))
     return every.groupBy("t").agg(F.count("*").alias("df"))
 
 
@@ -219,9 +252,9 @@ def marks(docs: DataFrame, shown: DataFrame) -> DataFrame:
     """(t_id, t_hash, terms): where the texts have the terms `shown`, as (start, end, disclosure)."""
     known = Filter(shown, "t")
     text = F.coalesce(F.col("text"), F.lit(""))
-    maybe = docs.select("doc_id", text.alias("text")).where(F.exists(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: known.may_have(term_hash(w))))
-    words = maybe.select("doc_id", F.xxhash64(F.lit(1), F.col("text")).alias("text_hash"), F.explode(located(F.col("text"), TERM, lambda w: known.may_have(term_hash(w)))).alias("w"))
-    hits = words.select("doc_id", "text_hash", "w.start", "w.end", term_hash(F.col("w.value")).alias("t")).join(shown, "t")
+    maybe = docs.select("doc_id", text.alias("text")).where(F.exists(terms_of(text), known.may_have))
+    words = maybe.select("doc_id", F.xxhash64(F.lit(1), F.col("text")).alias("text_hash"), F.explode_outer(words_at(F.col("text"), known.may_have)).alias("w"))
+    hits = words.select("doc_id", "text_hash", "w.start", "w.end", "w.t").join(shown, "t")  # (texts without a hit have a null here)
     hits = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
     return hits.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), "terms")
 
