@@ -4,7 +4,8 @@ A document's UTF-8 bytes are covered wholly by chunks of 64 bytes that overlap b
 four bytes and channels that tell whether a byte repeats the one `lag` before it are averaged; learned chunk filters
 combine them; the maximum over all chunks of each chunk filter is combined into one probability.
 
-Null and empty texts have no byte and score as the network's answer to nothing.  Texts of any length are scored in slabs,
+Null and empty texts have no byte and score as the network's answer to nothing; without any label all score 0.98, and with
+labels of one class only all score as that.  Texts of any length are scored in slabs,
 so memory doesn't grow with them.  Repeated rows are scored each; further columns
 are passed on, but for `score` and `predicted`, which are replaced.
 """
@@ -133,11 +134,11 @@ class ByteNet:
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.02, seed: int = 7) -> ByteNet:
         """Adam on the log loss, classes weighted to count alike up to a cap of 3."""
         rng, y = np.random.default_rng(seed), np.asarray(y, np.float32)
-        share = np.array([np.mean(y == 0), np.mean(y == 1)])
-        if share.min() == 0:  # one class only: answer with it
+        if not len(y) or y.min() == y.max():  # one class only: answer with it; without any label nothing speaks against a text
             self.p["v"][:] = 0
-            self.p["c"][:] = 4 if len(y) and y[0] == 1 else (-4 if len(y) else 0)
+            self.p["c"][:] = 4 if not len(y) or y[0] == 1 else -4
             return self
+        share = np.array([np.mean(y == 0), np.mean(y == 1)])
         weight = np.minimum(0.5 / share, 3)[y.astype(int)]
         mean = {k: np.zeros_like(x) for k, x in self.p.items()}
         square = {k: np.zeros_like(x) for k, x in self.p.items()}
