@@ -4,7 +4,7 @@ A word that was met in training scores by the logarithm of its relative frequenc
 padded with spaces and cut into n-grams of the greatest length of which any was met in training; its score is their mean.
 A language in which a known word or n-gram wasn't met gets a penalty instead.  A text's score for a language is the mean
 over its words; the answer is the best language (the first by name on ties), its score the posterior of up to
-`EVIDENCE` words.
+`EVIDENCE` words.  All words and n-grams of the sample are kept, and each in the languages only that have it.
 
 Null texts and texts without a letter are `und` with score 0; without any training text all are.  Repeated rows are judged
 each; further columns are passed on (`lang_pred` and `score` are replaced).
@@ -12,7 +12,6 @@ each; further columns are passed on (`lang_pred` and `score` are replaced).
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 
 import numpy as np
@@ -22,57 +21,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, crc_mod, sample_ids, sampled_rows
+from .common import arrow_map, crc_mod
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 5  #: characters of the longest n-grams
 PENALTY = 14.0  #: minus the log frequency of what a language hasn't
 EVIDENCE = 12  #: words that count as independent for the posterior
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 800, 30_000  #: documents of each language learned from, at most, and the longest of them
-LANGUAGES = 400  #: languages learned, at most: the most frequent
-VOCABULARY = 30_000  #: words, and n-grams of each length, kept for each language, at most: the most frequent
-MEMORY = 100_000  #: words whose scores a worker remembers
+#: Documents learned from, at most: of each language the same number, of all languages together, and the longest of them.
+#: (Beyond SAMPLE languages the most frequent ones have a document each.)
+SAMPLE_PER_LANGUAGE, SAMPLE, SAMPLE_CHARS = 800, 6_400, 10_000
+MEMORY, MEMORY_BYTES = 100_000, 32 << 20  #: words whose scores a worker remembers, at most, and what they take
 
 
 class Model:
     def __init__(self, texts: dict[str, list[str]]):
         """texts: by language."""
         self.languages = sorted(texts)
-        #: by length of the n-grams, and at 0 for whole words: which of the rows of `known` a word has
+        #: by length of the n-grams, and at 0 for whole words: the number of each
         self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        found_in: list[list[tuple[int, float]]] = []
+        numbers, langs, logs, n = [], [], [], 0
         for k, name in enumerate(self.languages):
             words = Counter(w for t in texts[name] for w in WORD.findall(t.lower()))
             counts = [words, *(Counter() for _ in range(LONGEST))]
             for w, c in words.items():
                 padded = f" {w} "
-                for n in range(1, LONGEST + 1):
-                    for a in range(len(padded) - n + 1):
-                        counts[n][padded[a : a + n]] += c
+                for g in range(1, LONGEST + 1):
+                    for a in range(len(padded) - g + 1):
+                        counts[g][padded[a : a + g]] += c
             for table, found in zip(self.tables, counts, strict=True):
-                total = sum(found.values())
-                for x in heapq.nsmallest(VOCABULARY, found, key=lambda y: (-found[y], y)):
-                    if x not in table:
-                        table[x] = len(found_in)
-                        found_in.append([])
-                    found_in[table[x]].append((k, max(-PENALTY, np.log(found[x] / total))))
-        self.known = np.full((len(found_in), len(self.languages)), -PENALTY, np.float32)
-        for r, pairs in enumerate(found_in):
-            for k, x in pairs:
-                self.known[r, k] = x
+                own = np.empty(len(found), np.int32)
+                for i, x in enumerate(found):
+                    at = table.get(x)
+                    if at is None:
+                        table[x] = at = n
+                        n += 1
+                    own[i] = at
+                c = np.fromiter(found.values(), float, len(found))
+                numbers.append(own)
+                langs.append(np.full(len(found), k, np.int32))
+                logs.append(np.maximum(np.log(c / c.sum()), -PENALTY).astype(np.float32))
+        flat = np.concatenate([*numbers, np.zeros(0, np.int32)])
+        order = np.argsort(flat, kind="stable")
+        #: of each number, the languages that have it and their logarithms stand from its place in `at` to the next one
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=n))]).astype(np.int64)
+        self.langs = np.concatenate([*langs, np.zeros(0, np.int32)])[order]
+        self.logs = np.concatenate([*logs, np.zeros(0, np.float32)])[order]
+        #: the same as a matrix where there are few languages, for speed
+        self.known: np.ndarray | None = None
+        if 4 * n * len(self.languages) <= MEMORY_BYTES:
+            self.known = np.full((n, len(self.languages)), -PENALTY, np.float32)
+            self.known[np.repeat(np.arange(n), np.diff(self.at)), self.langs] = self.logs
         self.memory: dict[str, int] = {}
         self.rows: np.ndarray | None = None
 
+    def mean(self, numbers: list[int]) -> np.ndarray:
+        """The mean over words or n-grams of their logarithms in each language."""
+        if self.known is not None:
+            return self.known[numbers].mean(axis=0) if len(numbers) > 1 else self.known[numbers[0]]
+        out = np.zeros(len(self.languages))
+        for n in numbers:
+            a, b = self.at[n], self.at[n + 1]
+            out[self.langs[a:b]] += self.logs[a:b] + PENALTY
+        return out / len(numbers) - PENALTY
+
     def word(self, w: str) -> np.ndarray:
         found = self.tables[0].get(w)
         if found is not None:
-            return self.known[found]
+            return self.mean([found])
         padded = f" {w} "
         for n in range(min(LONGEST, len(padded)), 0, -1):
             table = self.tables[n]
             grams = [table[g] for a in range(len(padded) - n + 1) if (g := padded[a : a + n]) in table]
             if grams:
-                return self.known[grams].mean(axis=0)
+                return self.mean(grams)
         return np.full(len(self.languages), -PENALTY)
 
     def judge(self, text: str | None) -> tuple[str, float]:
@@ -80,13 +101,13 @@ class Model:
         if not words or not self.languages:
             return "und", 0.0
         if self.rows is None:
-            self.rows = np.zeros((MEMORY, len(self.languages)))
+            self.rows = np.zeros((max(1, min(MEMORY, MEMORY_BYTES // (8 * len(self.languages)))), len(self.languages)))
         memory, rows, mean, n = self.memory, self.rows, np.zeros(len(self.languages)), len(words)
         at = []
         for w in words:
             r = memory.get(w)
             if r is None:
-                if len(memory) == MEMORY:
+                if len(memory) == len(rows):
                     mean += rows[at].sum(axis=0)
                     at = []
                     memory.clear()
@@ -99,16 +120,24 @@ class Model:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learned from at most `per_language` documents of each of at most LANGUAGES non-null values of `lang`."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    share = max(20, min(per_language, 20 * per_language // max(1, len(names))))
-    texts = {}
-    for name in names:
-        own = known.where(F.col("lang") == name).select("doc_id", "text")
-        texts[name] = [r["text"] for r in sampled_rows(own, sample_ids(own, share), SAMPLE_CHARS)]
-    return Model(texts)
+def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, sample: int = SAMPLE) -> Model:
+    """Learned from at most `per_language` documents of each non-null value of `lang`, and `sample` of all.
+
+    The documents are those with the least hash of their id, the same whatever the partitions; longer ones than
+    SAMPLE_CHARS aren't learned from.  One pass counts, and one brings the rows whose hash may be among the least.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
+    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()]
+    share = max(1, min(per_language, sample // max(1, len(counts))))
+    # hashes are spread evenly, so that `share` of n rows have hashes below about this limit
+    limits = [(name, min(1.0, (share + 6 * share**0.5 + 10) / n)) for name, n in counts]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, __limit double")  # `sample` rows at most
+    own = F.xxhash64(F.lit("sample"), F.col("doc_id"))
+    hashed = known.select("lang", "text", own.alias("__hash")).withColumn("__part", F.shiftrightunsigned("__hash", 1) / F.lit(2.0**63))
+    found: dict[str, set] = {name: set() for name, _ in counts}
+    for r in hashed.join(F.broadcast(limits), "lang").where("__part < __limit").select("lang", "text", "__part").collect():
+        found[r["lang"]].add((r["__part"], r["text"]))
+    return Model({name: [t for _, t in sorted(rows)[:share]] for name, rows in found.items()})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
