@@ -29,7 +29,6 @@ OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}']+")
 SIGNIFICANT = 4.5  #: standard errors by which a feature's share in P is above that in U
 SAMPLE, SAMPLE_CHARS = 1200, 30_000  #: toxic and unlabelled documents learned from, at most of each, and the longest of them
 SLOTS = 1 << 21  #: of the table that features are counted by first
-FEATURES = 4000  #: features of a classifier, at most: the most significant
 PRIOR_SAMPLE = 20_000  #: labels that the class prior is estimated from, at most
 
 
@@ -81,7 +80,25 @@ def significant(view, positive: list[set[str]], unlabelled: list[set[str]]) -> l
     names = list(counts[0])
     score = z(np.array([counts[0][f] for f in names]), np.array([counts[1][f] for f in names])) if names else []
     rated = dict(zip(names, score, strict=True))
-    return [f for f in sorted(rated, key=lambda f: (-rated[f], f)) if rated[f] > SIGNIFICANT][:FEATURES]
+    return [f for f in sorted(rated, key=lambda f: (-rated[f], f)) if rated[f] > SIGNIFICANT]
+
+
+class Rows:
+    """Which features each document of a sample has."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        self.flat = np.concatenate([*lists, np.zeros(0, np.int64)])
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def some(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all features of these documents, the number of the document among `rows`, and the feature."""
+        n = self.at[rows + 1] - self.at[rows]
+        end = np.cumsum(n)
+        row = np.repeat(np.arange(len(rows)), n)
+        return row, self.flat[np.arange(end[-1]) + np.repeat(self.at[rows] - end + n, n)]
 
 
 class Linear:
@@ -94,32 +111,30 @@ class Linear:
         names = significant(view, positive, unlabelled)
         place = {f: k for k, f in enumerate(names)}
 
-        def matrix(sample):
-            m = np.zeros((len(sample), len(names)), np.float32)
-            for r, x in enumerate(sample):
-                m[r, [place[f] for w in x for f in view(w) if f in place]] = 1
-            return m
+        def lists(sample):
+            return [np.array(sorted({place[f] for w in x for f in view(w) if f in place}), np.int64) for x in sample]
 
-        w, c = self.train(matrix(positive), matrix(unlabelled), prior, seed)
+        w, c = self.train(Rows(lists(positive)), Rows(lists(unlabelled)), len(names), prior, seed)
         self.weight = {f: float(x) for f, x in zip(names, w, strict=True) if x}
         self.constant = float(c)
 
     @staticmethod
-    def train(p: np.ndarray, u: np.ndarray, prior: float, seed: int, steps: int = 1500, rate: float = 0.05, batch: int = 256):
+    def train(p: Rows, u: Rows, features: int, prior: float, seed: int, steps: int = 1500, rate: float = 0.05, batch: int = 256):
         """Adam on the non-negative risk with the sigmoid loss, from mini-batches of both samples."""
         rng = np.random.default_rng(seed)
-        w, c = np.full(p.shape[1], 0.5), -1.5
+        w, c = np.full(features, 0.5), -1.5
         mean, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for step in range(1, steps + 1):
-            x, y = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
-            px, py = (1 / (1 + np.exp(-np.clip(m @ w + c, -30, 30))) for m in (x, y))
+            x, y = p.some(rng.integers(0, len(p), batch)), u.some(rng.integers(0, len(u), batch))
+            px, py = (1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], batch) + c, -30, 30))) for row, column in (x, y))
             # the loss of +1 is 1 - p and that of -1 is p; p (1 - p) is their slope
             sx, sy = prior * px * (1 - px) / batch, py * (1 - py) / batch
             if py.mean() - prior * px.mean() >= 0:
                 gx, gy = -2 * sx, sy
             else:
                 gx, gy = sx, -sy
-            g = np.append(x.T @ gx + y.T @ gy + 2e-5 * w, gx.sum() + gy.sum())
+            slope = np.bincount(x[1], gx[x[0]], features) + np.bincount(y[1], gy[y[0]], features)
+            g = np.append(slope + 2e-5 * w, gx.sum() + gy.sum())
             mean = 0.9 * mean + 0.1 * g
             square = 0.99 * square + 0.01 * g * g
             d = rate * (1 - 0.8 * step / steps) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
