@@ -143,6 +143,34 @@ def test_decontamination(spark):
     assert {x["doc_id"] for x in kept.collect()} == {x for x, _ in rows} - {x for x, _ in true}
 
 
+def test_recall_by_similarity_and_size():
+    """Items of 1 to 10, 10 to 50 and over 50 shingles, with words replaced: what is as similar as 0.75 is found."""
+    r = random.Random(14)
+    for lo, hi in ((6, 14), (15, 54), (60, 120)):
+        items = [(k, " ".join(f"w{r.randrange(5000)}" for _ in range(r.randrange(lo, hi)))) for k in range(60)]
+        index, met = decontam.Index(items), collections.Counter()
+        for i, t in items:
+            for n in (0, 1, 1, 2, 3):
+                words = t.split()
+                for at in r.sample(range(len(words)), min(n, len(words))):
+                    words[at] = f"z{r.randrange(1000)}"
+                a, b = (decontam.shingles(decontam.word_hashes([" ".join(x)])[0], 5) for x in (t.split(), words))
+                alike = decontam.similarity(a, b)
+                if alike >= 0.75:
+                    text = " ".join([*(f"n{r.randrange(5000)}" for _ in range(30)), *words, *(f"n{r.randrange(5000)}" for _ in range(30))])
+                    found = [m for m in index.matches([text])[0] if m["item_id"] == i]
+                    met[bool(found), "below 0.9" if alike < 0.9 else "0.9 and over"] += 1
+        assert met[False, "0.9 and over"] == 0 and met[False, "below 0.9"] <= 0.02 * met[True, "below 0.9"], (lo, hi, met)
+
+
+def test_repeated_rows_and_long_texts_are_matched_each(spark):
+    items = [(1, " ".join(f"w{k}" for k in range(40)))]
+    long = " ".join([items[0][1]] * 300 + [f"n{k}" for k in range(60_000)])
+    docs = spark.createDataFrame([(1, items[0][1]), (1, items[0][1]), (None, items[0][1]), (2, long), (3, "")], "doc_id long, text string")
+    found = decontam.op6_decontamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x["doc_id"] or 0, x["similarity"], x["first_word"]) for x in found) == [(0, 1.0, 0), (1, 1.0, 0), (1, 1.0, 0), (2, 1.0, 0)]
+
+
 def test_truncated_items_that_are_whole_documents(spark):
     r = random.Random(9)
     words = [f"w{r.randrange(3000)}" for _ in range(59)]
@@ -368,6 +396,47 @@ def test_main_text_of_the_test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+LONG = "And this is the one of the two that you are in for, with the words that are of it"
+OTHER = "It is not the case that we were here for this, as it was for them and will be"
+PAGES = [
+    # attributes are told by their whole names, classes by their parts
+    (f'<article><p data-id="comment-7" data-role="share">{LONG}</p></article>', LONG),
+    (f"<article><p class=market-share>{LONG}</p><p class=legal>{OTHER}</p></article>", f"{LONG}\n{OTHER}"),
+    (f"<article><p>{LONG}</p><div class='post-comments'><p>{OTHER}</p></div><section id=comments><p>{OTHER}</p></section></article>", LONG),
+    (f"<article><p>{LONG}</p><article class=comment><p>{OTHER}</p></article></article>", LONG),
+    # links end with the next one, or with their block
+    (f"<article><p><a href=x>one<a href=y>two</a> {LONG}</p><p>{OTHER}</p></article>", f"onetwo {LONG}\n{OTHER}"),
+    (f"<article><p><a href=x>one<p>{LONG}</p><p>{OTHER}</p></article>", f"{LONG}\n{OTHER}"),
+    (f"<article><p><a name=top>{LONG}</p></article>", LONG),
+    # a quote within a value that has none
+    (f"<article><p title=it's>{LONG}</p><p>it's {OTHER}</p></article>", f"{LONG}\nit's {OTHER}"),
+    # what isn't shown
+    (f"<article><p hidden>{OTHER}</p><p style='display: none'>{OTHER}</p><p aria-hidden=true>{OTHER}</p><p>{LONG}</p></article>", LONG),
+    # headings of an article's header
+    (f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by somebody</p></header><p>{LONG}</p></article>", f"Title\n{LONG}"),
+    # without article elements
+    (f"<div class=menu><a href=/>Home</a></div><h2>Title</h2><div>{LONG}</div><div>Yes.</div><div>{OTHER}</div><form><p>{OTHER}</p></form><div class=cookie-notice>{OTHER}</div>", f"Title\n{LONG}\nYes.\n{OTHER}"),
+    (f"<div><a href=/1>{LONG}</a></div><div>{OTHER}</div><div id=sidebar><div>{LONG}</div></div>", OTHER),
+    (f"<table><tr><td><a href=/>Home</a> <a href=/2>News</a></td><td><p>{LONG}</p><p>Short.</p></td></tr></table>", f"{LONG}\nShort."),
+    # foreign words inherit from their neighbours, and stay in an article without any
+    (f"<div>{LONG}</div><div>zxcv qwer</div>", f"{LONG}\nzxcv qwer"), ("<article><p>zxcv qwer</p></article>", "zxcv qwer"), ("<div>zxcv qwer</div>", ""),
+    (f"<div class=ad>{LONG}</div><div>zxcv</div>", ""), ("", ""), ("<p", ""), ("&lt;p&gt; &eacute;", ""),
+]
+
+
+@pytest.mark.parametrize("k", range(len(PAGES)))
+def test_main_text_of_labelled_pages(k):
+    assert pages.main_text(PAGES[k][0]) == PAGES[k][1]
+
+
+def test_main_text_edges(spark):
+    body = "".join(f"<p>{LONG} {k}</p>" for k in range(20_000))
+    rows = spark.createDataFrame([(1, None, "t", 1), (1, None, "t", 1), (2, f"<article>{body}</article>", "t", 1), (None, "", None, None)], "page_id long, html string, text string, n_chars int").withColumn("url", F.lit(None).cast("string"))
+    found = pages.op9_main_text(rows).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in found) == [(0, 0), (1, 0), (1, 0), (2, sum(len(f"{LONG} {k}") + 1 for k in range(20_000)) - 1)]
+    assert pages.op9_main_text(rows.where("page_id < 0")).count() == 0
+
+
 def plain_verdict(url, rules=urls.RULES):
     if not url or "://" not in url:
         return "", "", None

@@ -1,5 +1,9 @@
 """Quality, language, toxicity: held-out accuracy on the test tables, and edge rows."""
 
+import collections
+import math
+import random
+
 import numpy as np
 import pytest
 
@@ -113,3 +117,61 @@ def test_nonnegative_risk_keeps_clean_texts_clean():
     score = toxicity.Model(positive, unlabelled, 0.2).scorer()
     assert np.mean([score(text(True)) >= 0.7 for _ in range(50)]) > 0.95
     assert np.mean([score(text(False)) < 0.3 for _ in range(50)]) > 0.95
+
+
+def plain_language(texts, text):
+    """The docstring's rule, word by word and without tables."""
+    found = {}
+    for name, own in texts.items():
+        words = collections.Counter(w for t in own for w in langid.WORD.findall(t.lower()))
+        grams = [collections.Counter() for _ in range(langid.LONGEST + 1)]
+        for w, c in words.items():
+            for n in range(1, langid.LONGEST + 1):
+                for a in range(len(w) + 3 - n):
+                    grams[n][f" {w} "[a : a + n]] += c
+        found[name] = (words, grams)
+
+    def score(name, w):
+        log = lambda counts, x: max(-langid.PENALTY, math.log(counts[x] / sum(counts.values()))) if x in counts else -langid.PENALTY
+        if any(w in words for words, _ in found.values()):
+            return log(found[name][0], w)
+        for n in range(min(langid.LONGEST, len(w) + 2), 0, -1):
+            of = [g for g in (f" {w} "[a : a + n] for a in range(len(w) + 3 - n)) if any(g in grams[n] for _, grams in found.values())]
+            if of:
+                return sum(log(found[name][1][n], g) for g in of) / len(of)
+        return -langid.PENALTY
+
+    words = langid.WORD.findall(text.lower())
+    means = {name: sum(score(name, w) for w in words) / len(words) for name in found}
+    return min(means, key=lambda name: (-means[name], name)), means
+
+
+def test_language_by_brute_force():
+    r = random.Random(3)
+    texts = {name: [" ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 7))) for _ in range(60)) for _ in range(3)] for name, letters in (("aa", "abcde"), ("bb", "bcdef"), ("cc", "xyzab"))}
+    model = langid.Model(texts)
+    for _ in range(100):
+        text = " ".join("".join(r.choice("abcdefxyzq") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 6)))
+        want, means = plain_language(texts, text)
+        got = model.judge(text)[0]
+        assert got == want or abs(means[got] - means[want]) < 1e-5, text
+
+
+def test_no_language_or_word_is_cut(spark, monkeypatch):
+    """More languages than the former cap, each with words of its own; the matrix and the lists answer alike."""
+    rows = [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(30)), f"l{k}") for k in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MEMORY_BYTES", 1 << 30)
+    model = langid.fit(docs)
+    assert len(model.languages) == 450
+    monkeypatch.setattr(langid, "MEMORY_BYTES", 1 << 14)
+    sparse = langid.fit(docs)
+    assert model.known is not None and sparse.known is None
+    for _, text, lang in rows[::15]:
+        assert model.judge(text)[0] == sparse.judge(text)[0] == lang
+    assert len(langid.fit(docs, sample=100).languages) == 100 and langid.fit(docs.where("doc_id < 0")).judge("abc") == ("und", 0.0)
+
+
+def test_no_labels_score_alike():
+    net = quality.ByteNet().fit([], np.array([]))
+    assert len({float(x) for x in net.score([b"", b"some words here", b"x" * 500])}) == 1
