@@ -203,6 +203,29 @@ def regularize(obs: DataFrame, step: str, method: str = "median", key: str = KEY
     return grid.join(medians, [key, "period"], "left")
 
 
+def regularize_clearest(obs: DataFrame, step: str, key: str = KEY) -> DataFrame:
+    """One value for each month or year of a key's span: that of the clearest of the period's dates that has one.
+
+    Dates are ranked within a period by the share of all keys' values that are known, the earlier first on ties; empty
+    periods stay as rows without a value.
+    """
+    period = F.to_date(F.date_trunc(step, F.col("ts")))
+    share = obs.groupBy("ts").agg((F.count("value") / F.count("*")).alias("share"))
+    rows = obs.withColumn("period", period).join(share, "ts")
+    known = F.when(F.col("value").isNotNull(), F.struct("share", (-calendar.micros(F.col("ts"))).alias("at"), "value"))
+    best = rows.groupBy(key, "period").agg(F.max(known).alias("b")).select(key, "period", F.col("b.value").alias("value"))
+    span = best.groupBy(key).agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    grid = span.select(key, F.explode(F.sequence("lo", "hi", F.expr(f"interval 1 {step}"))).alias("period"))
+    return grid.join(best, [key, "period"], "left")
+
+
+def greenest_pixel(cube: DataFrame, green: str, bands: list[str], step: str = "year", key: str = KEY) -> DataFrame:
+    """Composite by period: all bands at the date at which `green` is greatest, the earlier on ties."""
+    period = F.to_date(F.date_trunc(step, F.col("ts")))
+    best = cube.where(F.col(green).isNotNull()).groupBy(key, period.alias("period")).agg(F.max(F.struct(F.col(green).alias("g"), (-calendar.micros(F.col("ts"))).alias("at"), *bands)).alias("b"))
+    return best.select(key, "period", *[F.col(f"b.{b}").alias(b) for b in bands])
+
+
 def fill_linear(periods: DataFrame, max_gap_days: int | None = None, key: str = KEY) -> DataFrame:
     """Empty periods on the line between their neighbours, unless these are more than `max_gap_days` apart."""
     day = F.unix_date("period")

@@ -128,7 +128,7 @@ def _index_sql(formula: str) -> str:
 
     text = re.sub(r"nd\((\w+), (\w+)\)", r"((\1 - \2) / (\1 + \2))", formula).replace("(1 / 3)", "(1.0 / 3)")
     rows = ", ".join(f"{e} AS {k}" for k, e in ROLES.items())
-    return f"SELECT px, ts, ({text})::DOUBLE AS value FROM (SELECT l_orderkey * 10 + l_linenumber AS px, l_shipdate AS ts, {rows} FROM lineitem)"
+    return f"SELECT px, ts, CASE WHEN isfinite(value) THEN value END AS value FROM (SELECT px, ts, ({text})::DOUBLE AS value FROM (SELECT l_orderkey * 10 + l_linenumber AS px, l_shipdate AS ts, {rows} FROM lineitem))"  # a division by zero is no data
 
 
 for _index, _formula in indices.INDICES.items():
@@ -148,3 +148,17 @@ for _name, _a, _b in (("ndvi", "nir", "red"), ("ndre", "nir - 0.02", "rededge"),
     _rows = ", ".join(f"{e} AS {k}" for k, e in ROLES.items())
     _sql = f"SELECT px, ts, (({_a}) - ({_b})) / (({_a}) + ({_b})) AS value FROM (SELECT l_orderkey * 10 + l_linenumber AS px, l_shipdate AS ts, {_rows} FROM lineitem)"
     R.add(f"wavelength_{_name}", lambda s, d, k=_name: indices.by_wavelength(_fine_scene(s, d), CENTRES, k).withColumnRenamed(k, "value"), _sql, "value", 5)
+
+
+#: index by roles: bands by their words, and by wavelength alone
+NAMED = {"Blue": None, "Green": None, "Red": None, "b5": 705.0, "b8": 842.0, "SWIR 1": None, "b12": 2190.0}
+
+
+def _named_scene(s, d) -> Cube:
+    scene = _scene(s, d)
+    names = dict(zip(("blue", "green", "red", "rededge", "nir", "swir1", "swir2"), NAMED, strict=True))
+    return Cube(scene.rows.withColumnsRenamed(names), scene.keys, scene.ts)
+
+
+for _name in ("evi", "mndwi", "nbr", "mcari"):
+    R.add(f"role_{_name}", lambda s, d, k=_name: indices.by_roles(_named_scene(s, d), k, NAMED).withColumnRenamed(k, "value"), _index_sql(indices.INDICES[_name]), "value", 5)

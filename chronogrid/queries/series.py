@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import series as S
 from ..operators import temporal as T
+from ..plans import bindings
 from .common import CLASSES, EVENT_OBS, ITEM_OBS, OBS, Registry, classes, event_obs, item_obs, obs
 from .language import decyear
 
@@ -175,6 +176,10 @@ R.add(
     "share",
 )
 MONTHS = f"r AS (SELECT px, date_trunc('month', ts)::DATE AS period, ts, value FROM ({OBS})), g AS (SELECT px, unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH))::DATE AS period FROM r GROUP BY px)"
+R.add("regularize_clearest", lambda s, d: T.regularize_clearest(obs(s, d), "month"), f"""WITH {MONTHS}, sh AS (SELECT ts, count(value) / count(*) AS share FROM ({OBS}) GROUP BY ts),
+      k AS (SELECT px, date_trunc('month', o.ts)::DATE AS period, value, row_number() OVER (PARTITION BY px, date_trunc('month', o.ts) ORDER BY share DESC, o.ts) AS n FROM ({OBS}) o JOIN sh ON o.ts = sh.ts WHERE value IS NOT NULL)
+      SELECT DISTINCT g.px, g.period, k.value FROM g LEFT JOIN k ON g.px = k.px AND g.period = k.period AND n = 1""", "value")
+R.add("composite_greenest", lambda s, d: T.greenest_pixel(bindings.items(s, d).rows, "quantity", ["discount", "tax"]), f"""SELECT px, period, discount, tax FROM (SELECT *, row_number() OVER (PARTITION BY px, period ORDER BY quantity DESC, ts) AS n FROM (SELECT *, date_trunc('year', ts)::DATE AS period FROM ({bindings.ITEMS_SQL})) WHERE quantity IS NOT NULL) WHERE n = 1""", "discount tax")
 R.add("regularize_median", lambda s, d: T.regularize(obs(s, d), "month"), f"WITH {MONTHS} SELECT g.px, g.period, median(value) AS value FROM g LEFT JOIN r ON g.px = r.px AND g.period = r.period GROUP BY 1, 2", "value")
 R.add(
     "regularize_medoid", lambda s, d: T.regularize(_items(s, d).withColumnRenamed("l_suppkey", "px"), "year", "medoid", bands=("quantity", "discount")),

@@ -98,6 +98,13 @@ def test_irmad_finds_the_changed_cells(spark):
 
 def test_indices(spark):
     assert indices.nearest_bands({"b4": 665, "b8": 842}, "ndvi") == ("b8", "b4")
+    assert indices.nearest_bands({"b4": 665, "b8": 842, "b11": 1609}, "ndmi") == ("b8", "b11")
+    with pytest.raises(ValueError, match="no band within 6"):
+        indices.nearest_bands({"b2": 490, "b3": 560}, "pri")
+    with pytest.raises(ValueError, match="no band within 15"):
+        indices.nearest_bands({"b5": 740, "b7": 790}, "ndre")
+    assert [indices.band_of_role({"SWIR 1": None, "x": 1610.0, "y": 1660.0}, c) for c in ("S1", "S2")] == ["SWIR 1", None]
+    assert indices.band_of_role({"x": 1560.0, "y": 1660.0}, "S1") == "y"
     with pytest.raises(ValueError, match="no band within"):
         indices.nearest_bands({"b4": 665}, "ndvi")
     rows = spark.createDataFrame([(1, DAY, 30.0, 0.0, 0.0, 0.1)], "px long, ts timestamp, sza double, vza double, raa double, red double")
