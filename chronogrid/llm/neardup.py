@@ -5,8 +5,9 @@ one node, named by their least doc_id.  128 universal hash minima make a signatu
 (a pair at similarity 0.75 misses all of them with probability 5e-6).  In each bucket every node is paired with the
 bucket's pivot, the node that meets the most others; pairs are verified by their signatures, then by their full sets.  Then
 the buckets of which not all nodes are connected yet are looked at again, by the same rule whatever their size: the nodes
-outside the largest component of a bucket are held against all its others, in blocks that bound memory, and only links leave
-a block.  So no group of copies, however large, is expanded into its pairs or met in one task, and no link between texts
+outside the largest component of a bucket are held against all its others, in blocks that bound memory: first by the lowest
+bytes of their signatures, which tells the nodes that have a candidate at all, then these nodes by their full sets.  Nodes
+and links leave a block, but no pairs.  So no group of copies, however large, is expanded into its pairs or met in one task, and no link between texts
 that share a bucket is lost.
 
 Null texts, and such without a word, have an empty set and are linked with nothing.  Rows of one doc_id are one document,
@@ -32,8 +33,9 @@ MINIMA, ROWS_IN_BAND = 128, 4  #: hash minima of a signature, and of them in a b
 SIMILAR = (75, 100)  #: linked if 100 * intersection >= 75 * union
 PASS_SIGNATURE = 0.5  #: estimated similarity from which full sets are compared; 6.5 standard errors below 0.75
 NO_ID = 1 << 62  #: from here on, nodes of texts whose rows have no id
-#: Shingles and nodes of the two blocks that are held against each other, about.
+#: Shingles and nodes of the two blocks whose sets are held against each other, about, and nodes of two whose signatures are.
 X_BLOCK, Y_BLOCK = (1_000_000, 4_096), (250_000, 1_024)
+X_BRIEF, Y_BRIEF = 16_384, 4_096
 ROWS, TEXTS = 500_000, 2_000  #: rows of numbers, and of texts or sets, in one part of a table, at least
 FILTER_LONGS = 1 << 16  #: 64-bit numbers in the filter of nodes; a fuller one lets more through, and nothing is lost
 
@@ -112,7 +114,7 @@ def _node(ids: list, sets: list[np.ndarray]) -> list[int]:
 
 
 def _node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, sig, shingles) of the documents that name `nodes`.
+    """(node, sig, brief, shingles) of the documents that name `nodes`; brief is the lowest byte of each number of sig.
 
     A filter of fixed size, or-ed together from the nodes' hashes, tells most other documents before their texts are read;
     the join that follows is exact, however full the filter is.
@@ -132,12 +134,13 @@ def _node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             b = b.filter(pa.array(maybe))
             found = shingle_sets(b.column("text").to_pylist())
             ids = _node(b.column("doc_id").to_pylist(), found)
-            kept = [(i, signature(s).astype(np.uint32).view(np.int32), s.view(np.int64)) for i, s in zip(ids, found, strict=True) if len(s)]
+            kept = [(i, signature(s).astype(np.uint32), s.view(np.int64)) for i, s in zip(ids, found, strict=True) if len(s)]
             node, sig, s = zip(*kept, strict=True) if kept else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(node), pa.int64()), pa.array(list(sig), pa.list_(pa.int32())), pa.array(list(s), pa.list_(pa.int64()))], ["node", "sig", "shingles"])
+            brief = pa.array([x.astype(np.uint8).tobytes() for x in sig], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(node), pa.int64()), pa.array([x.view(np.int32) for x in sig], pa.list_(pa.int32())), brief, pa.array(list(s), pa.list_(pa.int64()))], ["node", "sig", "brief", "shingles"])
 
     own = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)).alias("node")), F.lit(64 * FILTER_LONGS)).alias("slot"))
-    return arrow_map(own, sets, "node long, sig array<int>, shingles array<long>").join(nodes, "node", "left_semi")
+    return arrow_map(own, sets, "node long, sig array<int>, brief binary, shingles array<long>").join(nodes, "node", "left_semi")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,6 +191,29 @@ def _met(x: _Block, y: _Block, bucket: int) -> list[tuple[int, int]]:
     return found
 
 
+def _candidates(batches):
+    """(bucket, node) of the nodes of two blocks that aren't connected yet with one of the other block, and may be like it by their signatures."""
+    for b in batches:
+        buckets, nodes = [], []
+        for k in range(b.num_rows):
+            sides = []
+            for side in ("xs", "ys"):
+                rows = b.column(side).slice(k, 1).flatten()
+                brief = np.frombuffer(b"".join(rows.field("brief").to_pylist()), np.uint8).reshape(len(rows), MINIMA)
+                sides.append((rows.field("node").to_numpy(), rows.field("c").to_numpy(), brief))
+            (x, xc, xb), (y, yc, yb) = sides
+            hit = np.zeros(len(y), bool)
+            for i in range(len(x)):
+                maybe = (yc != xc[i]) & ((yb == xb[i]).sum(axis=1) >= int(PASS_SIGNATURE * MINIMA))
+                if maybe.any():
+                    hit |= maybe
+                    nodes.append([x[i]])
+            nodes.append(y[hit])
+            buckets.append(np.full(sum(map(len, nodes)) - sum(map(len, buckets)), b.column("bucket")[k].as_py()))
+        flat = np.concatenate([*nodes, np.zeros(0, np.int64)]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*buckets, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(flat)], ["bucket", "node"])
+
+
 def _block_links(batches):
     """Links between the two blocks of each row."""
     for b in batches:
@@ -209,22 +235,31 @@ def _residual(members: DataFrame, sets: DataFrame, root: DataFrame, work: Worksp
     per = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = per.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("several")).where("several > 1").select("bucket", F.col("m.c").alias("main"))
     open_ = work.cut(sized(placed.join(main, "bucket").select("node", "bucket", "c", (F.col("c") != F.col("main")).alias("odd")), members.count(), ROWS), "open")
-    once = sets.groupBy("node").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
-    rows = work.cut(sized(open_.join(once, "node"), open_.count(), TEXTS * 4), "open-sets")
-
-    size = F.size("shingles")
-    blocks = lambda bound, which: F.ceil(F.greatest(F.sum(F.when(which, size)) / bound[0], F.count(F.when(which, 1)) / bound[1]))
-    of = rows.groupBy("bucket").agg(blocks(X_BLOCK, F.col("odd")).alias("xn"), blocks(Y_BLOCK, F.lit(True)).alias("yn"))
+    once = lambda c: sets.groupBy("node").agg(F.first(c).alias(c))
+    brief = open_.join(once("brief"), "node")
+    blocks = lambda n, size: F.ceil(F.count(F.when(n, 1)) / size)
+    of = open_.groupBy("bucket").agg(blocks(F.col("odd"), X_BRIEF).alias("xn"), blocks(F.lit(True), Y_BRIEF).alias("yn"))
+    found = arrow_map(_facing(brief, of, ["node", "c", "brief"]), _candidates, "bucket long, node long", rows=1).distinct()
+
+    both = work.cut(sized(open_.join(found, ["bucket", "node"]), open_.count(), ROWS), "candidates")
+    rows = both.join(sets.groupBy("node").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles")), "node")
+    of_size = both.join(sets.groupBy("node").agg(F.first(F.size("shingles")).alias("n")), "node")
+    blocks = lambda bound, which: F.ceil(F.greatest(F.sum(F.when(which, F.col("n"))) / bound[0], F.count(F.when(which, 1)) / bound[1]))
+    of = of_size.groupBy("bucket").agg(blocks(X_BLOCK, F.col("odd")).alias("xn"), blocks(Y_BLOCK, F.lit(True)).alias("yn"))
+    return arrow_map(_facing(rows, of, ["node", "c", "sig", "shingles"]), _block_links, "u long, v long", rows=1).distinct()
+
+
+def _facing(rows: DataFrame, of: DataFrame, fields: list[str]) -> DataFrame:
+    """(bucket, xs, ys): each block of a bucket's odd nodes with each block of all its nodes; `of` has their numbers (bucket, xn, yn)."""
     dealt = rows.join(of, "bucket")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    node = F.struct("node", "c", "sig", "shingles")
+    node = F.struct(*fields)
     # a block is gathered where its own number sends it, not where its bucket does, and so is each pair of blocks
     xs = dealt.where("odd").withColumn("xb", block("xn")).repartition("bucket", "xb").groupBy("bucket", "xb", "yn").agg(F.collect_list(node).alias("xs"))
-    ys = dealt.withColumn("yb", block("yn")).repartition("bucket", "yb").groupBy("bucket", "yb", "xn").agg(F.collect_list(node).alias("ys"))
+    ys = dealt.where("xn > 0").withColumn("yb", block("yn")).repartition("bucket", "yb").groupBy("bucket", "yb", "xn").agg(F.collect_list(node).alias("ys"))
     xs, ys = xs.select("bucket", "xb", every("yn").alias("yb"), "xs"), ys.select("bucket", "yb", every("xn").alias("xb"), "ys")
-    met = xs.join(ys, ["bucket", "xb", "yb"]).select("bucket", "xs", "ys")
-    return arrow_map(met, _block_links, "u long, v long", rows=1).distinct()
+    return xs.join(ys, ["bucket", "xb", "yb"]).select("bucket", "xs", "ys")
 
 
 def _grouped(docs: DataFrame, work: Workspace) -> DataFrame:
