@@ -4,8 +4,8 @@ A text's set holds its distinct shingles of five words (with fewer words, the wh
 one node, named by their least doc_id.  128 universal hash minima make a signature; 32 bands of four minima make buckets
 (a pair at similarity 0.75 misses all of them with probability 5e-6).  In each bucket every node is paired with the
 bucket's pivot, the node that meets the most others; pairs are verified by their signatures, then by their full sets.  Then
-the buckets of which not all nodes are connected yet are looked at again, by the same rule whatever their size: the nodes
-outside the largest component of a bucket are held against all its others, in blocks that bound memory: first by the lowest
+the groups of nodes that buckets connect and links don't are looked at again, by one rule whatever their size: the nodes
+outside the largest component of a group are held against all its others, in blocks that bound memory: first by the lowest
 bytes of their signatures, which tells the nodes that have a candidate at all, then these nodes by their full sets.  Nodes
 and links leave a block, but no pairs.  So no group of copies, however large, is expanded into its pairs or met in one task, and no link between texts
 that share a bucket is lost.
@@ -168,8 +168,8 @@ class _Block:
         return self.flat[self.at[k] : self.at[k + 1]]
 
 
-def _met(x: _Block, y: _Block, bucket: int) -> list[tuple[int, int]]:
-    """Links between nodes of x and y that aren't connected yet and have no lesser bucket in common (that one finds them)."""
+def _met(x: _Block, y: _Block) -> list[tuple[int, int]]:
+    """Links between nodes of x and y that aren't connected yet."""
     order = np.argsort(y.flat, kind="stable")
     flat, owner = y.flat[order], np.repeat(np.arange(len(y.node)), y.size)[order]
     found = []
@@ -185,9 +185,7 @@ def _met(x: _Block, y: _Block, bucket: int) -> list[tuple[int, int]]:
         common = np.bincount(owner[at], minlength=len(y.node))
         maybe &= common * SIMILAR[1] >= (len(s) + y.size - common) * SIMILAR[0]
         if maybe.any():
-            shared = same[maybe].reshape(-1, MINIMA // ROWS_IN_BAND, ROWS_IN_BAND).all(axis=2)
-            least = np.where(shared, bands(x.sig[i].view(np.uint32).astype(np.uint64)), np.iinfo(np.int64).max).min(axis=1)
-            found += [(int(x.node[i]), int(v)) for v in y.node[maybe][least == bucket]]
+            found += [(int(x.node[i]), int(v)) for v in y.node[maybe]]
     return found
 
 
@@ -220,18 +218,19 @@ def _block_links(batches):
         found = []
         for k in range(b.num_rows):
             x, y = (_Block(b.column(side).slice(k, 1).flatten()) for side in ("xs", "ys"))
-            found += _met(x, y, b.column("bucket")[k].as_py())
+            found += _met(x, y)
         u, v = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _residual(members: DataFrame, sets: DataFrame, root: DataFrame, work: Workspace) -> DataFrame:
-    """Links that the pivots didn't show: between nodes that share a bucket and aren't connected yet.
+def _residual(members: DataFrame, pairs: DataFrame, sets: DataFrame, root: DataFrame, work: Workspace) -> DataFrame:
+    """Links that the pivots didn't show: between nodes of a group that buckets connect, which aren't connected yet.
 
-    In a bucket of several components, the nodes outside the largest are held against all, block by block.
+    In a group of several components, the nodes outside the largest are held against all, block by block.
     """
     of_root = members.select("node").distinct().join(root, "node", "left").select("node", F.coalesce("root", "node").alias("c"))
-    placed = members.select("bucket", "node").join(of_root, "node")
+    # (a group is called bucket below; pairs tie all nodes of a bucket to its pivot)
+    placed = components(pairs, work).select("node", F.col("root").alias("bucket")).join(of_root, "node")
     per = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = per.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("several")).where("several > 1").select("bucket", F.col("m.c").alias("main"))
     open_ = work.cut(sized(placed.join(main, "bucket").select("node", "bucket", "c", (F.col("c") != F.col("main")).alias("odd")), members.count(), ROWS), "open")
@@ -285,7 +284,7 @@ def _grouped(docs: DataFrame, work: Workspace) -> DataFrame:
     pairs = work.cut(small(members.join(pivots, "bucket").where("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()), "pairs")
     sets = work.cut(sized(_node_sets(docs, members.select("node").distinct()), rows, TEXTS), "sets")
     links = work.cut(sized(_linked(pairs, sets), pairs.count(), TEXTS * 4), "links")
-    more = _residual(members, sets, components(links, work), work)
+    more = _residual(members, pairs, sets, components(links, work), work)
     root = components(work.cut(small(links.unionByName(more)), "all-links"), work)
 
     named = nodes.select("k1", "k2", "node").join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
