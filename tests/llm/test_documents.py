@@ -571,3 +571,14 @@ def test_pipeline_takes_edge_rows(spark):
         assert stage(spark, docs, SF).count() >= 1
         assert stage(spark, docs.where("doc_id < 0"), SF).count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, SF).count() <= 5
+
+
+def test_filters_of_terms_are_not_written_into_plans(spark):
+    docs = spark.createDataFrame([(k, f"write to ann{k % 2}@example.com about bluebird number {k}", None) for k in range(6)] + [(6, None, None)], "doc_id long, text string, n_chars int")
+    shown = docs.select(F.explode(pii.terms_of(F.lit("bluebird about"))).alias("t")).distinct().withColumn("disclosure", F.lit(0.9))
+    shared = docs.select(pii.hashed(F.concat(F.lit("email:ann"), F.col("doc_id") % 2, F.lit("@example.com"))).alias("e")).distinct()
+    for df in (pii.marks(docs, shown), pii.frequencies(docs, shown), pii.co_occurrence(pii.with_base_spans(docs).localCheckpoint(), shared)):
+        assert len(df._jdf.queryExecution().toString()) < 100_000
+        assert "AS __filter" not in df._jdf.queryExecution().optimizedPlan().toString()  # nor copied with each row
+        assert df.count() > 0
+    assert {r["t_id"]: len(r["terms"]) for r in pii.marks(docs, shown).collect()} == dict.fromkeys(range(6), 2)
