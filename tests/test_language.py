@@ -5,6 +5,7 @@ import datetime
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chronogrid.lang import Cube, CubeError, evaluate, parse
 from chronogrid.lang.parser import render
@@ -126,3 +127,10 @@ def test_plan_reads_only_what_is_needed(spark, sf_dir):
     physical = plan[plan.index("Physical Plan") :]
     assert "l_tax" not in physical and "l_comment" not in physical
     assert "Python" not in physical
+
+
+def test_count_without_a_valid_date_is_no_data(spark):
+    rows = spark.createDataFrame([(1, "2020-01-01", None), (1, "2020-02-01", None), (2, "2020-01-01", 3.0), (2, "2020-02-01", None), (3, "2020-01-01", 7.0)], "px long, ts string, s double")
+    cube = Cube(rows.withColumn("ts", F.to_timestamp("ts")))
+    assert {r["px"]: r["value"] for r in evaluate(cube, "count(s > 5)").collect()} == {1: None, 2: 0.0, 3: 1.0}
+    assert {r["px"]: r["value"] for r in evaluate(cube, "count(s > 5) by year").collect()} == {1: None, 2: 0.0, 3: 1.0}
