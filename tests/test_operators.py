@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronogrid import streaming
 from chronogrid.functions import calendar, indices
-from chronogrid.operators import grids, joins, learning, series, surveys, temporal, vectors
+from chronogrid.operators import grids, joins, learning, ranks, series, surveys, temporal, vectors
 from chronogrid.sources import catalogues, names, store
 
 DAY = datetime.datetime(2020, 1, 1)
@@ -179,3 +179,15 @@ def test_states_of_streams(spark, tmp_path):
     assert [r["alarm"] for r in found] == [False, False, False, True, True]
     pairs = done(streaming.joined_streams(arrived(), arrived(), "1 day", "1 day").select("px", "ts", "other"), "pairs")
     assert len(pairs) == 6
+
+
+def test_percentiles_of_many_values_are_exact(spark):
+    """Approximate bounds come out otherwise when computed anew: they must be one table."""
+    rows = spark.range(0, 300_000, 1, 24).select((F.col("id") % 2).alias("g"), (F.xxhash64("id") % 10_000_000 / 100.0).alias("value"))
+    for by in ([], ["g"]):
+        ranked = ranks.cumulative(ranks.counted(rows, by, "value"), by, "value")
+        assert "percentile_approx" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+        mine = {tuple(r[c] for c in by): (r["lo"], r["hi"]) for r in ranks.percentiles(rows, by, "value", {"lo": 0.02, "hi": 0.98}).collect()}
+        for r in rows.groupBy(*by).agg(F.percentile("value", [0.02, 0.98]).alias("p")).collect():
+            assert mine.pop(tuple(r[c] for c in by)) == pytest.approx(tuple(r["p"]), abs=1e-9)
+        assert not mine
