@@ -38,6 +38,7 @@ X_BLOCK, Y_BLOCK = (1_000_000, 4_096), (250_000, 1_024)
 X_BRIEF, Y_BRIEF = 16_384, 4_096
 ROWS, TEXTS = 500_000, 2_000  #: rows of numbers, and of texts or sets, in one part of a table, at least
 FILTER_LONGS = 1 << 16  #: 64-bit numbers in the filter of nodes; a fuller one lets more through, and nothing is lost
+ID_FILTER_LONGS = 1 << 18  #: and in that of ids whose rows don't simply stay
 
 _rng = np.random.default_rng(20240229)
 _place = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -300,26 +301,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return cut(found, "near-duplicates")
 
 
+def _may_be_in(ids: DataFrame):
+    """A function of a column of ids: false for most that aren't in `ids` (doc_id), true for those that are; null for null.
+
+    One bit for each id, in a table that the cluster ors together; it is a row of its own, as a literal would be written out
+    with each plan.
+    """
+    slot = lambda x: F.pmod(F.xxhash64(x.cast("long")), F.lit(64 * ID_FILTER_LONGS))
+    spots = ids.select(slot(F.col("doc_id")).alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bits"))
+    filled = spots.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # ID_FILTER_LONGS rows at most
+    table = np.zeros(ID_FILTER_LONGS, np.int64)
+    table[filled.column("at").to_numpy()] = filled.column("bits").to_numpy()
+    rows = ids.sparkSession.createDataFrame(pa.table({"table": pa.array([table], pa.list_(pa.int64()))}))
+    return lambda x: F.when(x.isNotNull(), F.getbit(F.get(rows.scalar(), F.shiftright(slot(x), 6).cast("int")), slot(x).bitwiseAND(63).cast("int")) == 1)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows of `docs`, one of each group: that whose doc_id names its component, and of a group without any id one of its texts.
 
-    Repeated rows of one id count once; rows without a shingle are no copies of each other and stay.
+    Repeated rows of one id count once; rows without a shingle are no copies of each other and stay.  Most rows that stay are
+    told by a filter of the ids that go or are repeated, so that their texts aren't shuffled; the others are joined by id.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Workspace(docs.sparkSession) as work:
         found = work.cut(_grouped(own, work), "grouped")
-        kept = cut(found.where("doc_id is not null and (n = 0 or root = doc_id)").select("doc_id").distinct(), "kept")
+        ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("n = 0 or coalesce(root = doc_id, false)")).alias("__stays"), F.count("*").alias("__rows"))
+        met = cut(ids.where("not __stays or __rows > 1"), "met")
         unnamed = found.where(f"doc_id is null and root >= {NO_ID}").groupBy("root").agg(F.min("text_hash").alias("__hash")).select("__hash")
         unnamed = cut(unnamed, "kept-without-id")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    out = docs.join(kept, "doc_id", "left_semi")
+    may_be_met = _may_be_in(met)(F.col("doc_id"))
+    out = docs.where(~may_be_met)
+    rest = docs.where(may_be_met)
+    out = out.select(*docs.columns).unionByName(rest.join(met, "doc_id", "left_anti").select(*docs.columns))
+    repeated = met.where("__stays and __rows > 1").select("doc_id")
     if repeated.take(1):
-        once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(once.select(*out.columns))
+        out = out.unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
     bare = docs.where("doc_id is null")
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     one = bare.where(words).withColumn("__text_hash", F.xxhash64("text")).join(unnamed.withColumnRenamed("__hash", "__text_hash"), "__text_hash", "left_semi").dropDuplicates(["__text_hash"])
-    return out.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(bare.where(~words))
+    return out.unionByName(one.select(*docs.columns)).unionByName(bare.where(~words))
 
 
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:

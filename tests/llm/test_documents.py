@@ -113,6 +113,34 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(docs.where("doc_id < 0")).count() == 0
 
 
+def exchanged(plan, column):
+    """Rows with `column` that the exchanges of an executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return exchanged(plan.executedPlan(), column)
+    if name.endswith("QueryStageExec"):
+        return exchanged(plan.plan(), column)
+    below = sum(exchanged(plan.children().apply(k), column) for k in range(plan.children().size()))
+    has = column in [plan.output().apply(k).name() for k in range(plan.output().size())]
+    return below + (plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" and has else 0)
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Only rows that go, are repeated or share their bit of the filter are; before, all were, once their ids are too many to broadcast."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(300)]
+    rows = [*enumerate(texts), *((1000 + k, texts[k]) for k in range(20)), (5, texts[5]), (299, "another text of the same id"), (2000, None), (None, texts[7])]
+    docs, name = spark.createDataFrame(rows, "doc_id long, text string"), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        left = neardup.deduplicated(docs)
+        assert sorted(x["doc_id"] for x in left.collect()) == [*range(300), 2000]
+        assert 20 <= exchanged(left._jdf.queryExecution().executedPlan(), "text") <= 60
+    finally:
+        spark.conf.set(name, before)
+
+
 # -- decontamination -------------------------------------------------------------------------------------------------------
 
 
